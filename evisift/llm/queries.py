@@ -1,0 +1,37 @@
+"""Queries of the subpackage; ``__spark_entry__`` adds them if it can be imported."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evisift.session import table
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.components import grouped_pairs
+
+    queued = table(spark, d, "review_candidates").select("record_a", "record_b")
+    merged = table(spark, d, "dedup_runs").select(F.explode("auto_merged").alias("m")).select("m.record_a", "m.record_b")
+    return grouped_pairs(queued.unionByName(merged), "record_a", "record_b")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.tokenizer import encode_texts
+
+    return encode_texts(table(spark, d, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
+
+ORACLE = {
+    "p5_found": r"""
+        WITH RECURSIVE raw AS (
+          SELECT record_a AS a, record_b AS b FROM review_candidates
+          UNION ALL SELECT m.record_a, m.record_b FROM (SELECT unnest(auto_merged) AS m FROM dedup_runs)),
+        c AS (SELECT lower(trim(a)) AS a, lower(trim(b)) AS b FROM raw),
+        e AS (SELECT DISTINCT a, b FROM c WHERE a <> '' AND b <> '' AND a <> b),
+        e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(id, g) AS (SELECT DISTINCT a, a FROM e2 UNION SELECT e2.b, r.g FROM r JOIN e2 ON e2.a = r.id AND r.g < e2.b)
+        SELECT id AS record_id, min(g) AS group_id FROM r GROUP BY id""",
+}
