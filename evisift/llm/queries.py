@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 from evisift.session import table
 
 
+def _opinions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "screen_log"), table(spark, d, "tool_decisions")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.consensus import consensus
+
+    return consensus(*_opinions(spark, d)).select("record_id", "stage", "decision")
+
+
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.consensus import consensus
+
+    return consensus(*_opinions(spark, d)).groupBy("stage").agg(
+        F.count(F.lit(1)).alias("items"), F.avg("agreement").alias("pairwise_agreement"), F.avg("support").alias("mean_support"), F.avg("reviewers").alias("mean_reviewers")
+    )
+
+
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.consensus import reliability
+
+    return reliability(*_opinions(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from evisift.llm.components import grouped_pairs
 
@@ -22,7 +46,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p5_found": p5_found, "p6_ids": p6_ids}
 
 ORACLE = {
     "p5_found": r"""
