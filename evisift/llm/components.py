@@ -74,9 +74,8 @@ def connected_components(edges: DataFrame, workspace: Workspace | None = None) -
         rounds.append((chosen.where("kept = 0").select(F.col("x").alias("id"), F.col("low").alias("up")), 2 * left))
         ws.drop(graph)
         graph, left = nxt, nxt.count()
-    schema = "id string, group_id string"
     if not rounds:
-        return spark.createDataFrame([], schema)
+        return graph.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
     # the vertices that stayed to the end of the last round in which they had edges are the seeds
     labels = None
     for k, (tree, most) in enumerate(reversed(rounds)):

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from evisift.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.neardup import near_duplicate_pairs
+
+    return near_duplicate_pairs(table(spark, d, "records"))
+
+
 def _opinions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "screen_log"), table(spark, d, "tool_decisions")
 
@@ -46,7 +52,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p5_found": p5_found, "p6_ids": p6_ids}
 
 ORACLE = {
     "p5_found": r"""
