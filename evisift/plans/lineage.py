@@ -9,6 +9,7 @@ Where the setting is unset (tests, local runs) a folder of our own is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -67,6 +68,11 @@ class Workspace:
             if path:
                 _remove(self.spark, path)
 
+    def release(self) -> None:
+        """Let Spark remove shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _close(self) -> None:
         try:
             _remove(self.spark, self.root)
