@@ -38,6 +38,18 @@ def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
     return reliability(*_opinions(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.survivor import survivors
+
+    return survivors(table(spark, d, "records"), table(spark, d, "amendments"), table(spark, d, "source_trust"))
+
+
+def p4_fused(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.survivor import fused_records
+
+    return fused_records(table(spark, d, "records"), table(spark, d, "source_trust"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from evisift.llm.components import grouped_pairs
 
@@ -52,7 +64,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p5_found": p5_found, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p4_found": p4_found, "p4_fused": p4_fused, "p5_found": p5_found, "p6_ids": p6_ids}
 
 ORACLE = {
     "p5_found": r"""
