@@ -143,7 +143,7 @@ def _sums(claims: DataFrame, model: Sources) -> tuple[np.ndarray, ...]:
                             pair[2, s, t] += 1
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.concatenate([own.ravel(), pair.ravel()]).tolist()])], names=["k", "x"])
 
-    parts = claims.select("who", "what").mapInArrow(run, "k int, x array<double>")
+    parts = claims.select("who", "what").mapInArrow(run, "k bigint, x array<double>")
     flat = parts.select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("x")).orderBy("pos").toPandas()["x"].to_numpy()
     if not len(flat):
         flat = np.zeros(2 * n + 3 * n * n)

@@ -27,6 +27,7 @@ _MARKS = [
     ("edition", re.compile(r"\b(?:\w+ edition|updated? (?:review|edition)|an update)\b")),
 ]
 _MARKING = ("correction", "corrigendum", "retraction", "retracted", "comment", "commentary", "response", "protocol", "erratum", "edition")
+_ANY_MARK = re.compile("corr|errat|retract|withdrawn|concern|comment|reply|response|letter|protocol|plan|design|follow|extended|long|cost|economic|secondary|post hoc|sub ?stud|subgroup|edition|update|part ")
 _PART = re.compile(r"\bpart (one|two|three|four|i{1,3}|iv|v|\d+)\b")
 _NUMBERS = {"one": "1", "two": "2", "three": "3", "four": "4", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
 
@@ -71,6 +72,8 @@ def normal(title: str | None) -> str:
 
 def marks(words: str) -> str:
     """The marks in a folded title, as a sorted text; '' for none."""
+    if not _ANY_MARK.search(words):
+        return ""
     out = [name for name, p in _MARKS if p.search(words)]
     m = _PART.findall(words)
     if m:
