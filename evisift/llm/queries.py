@@ -64,7 +64,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p4_found": p4_found, "p4_fused": p4_fused, "p5_found": p5_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.leakage import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p4_found": p4_found, "p4_fused": p4_fused, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 ORACLE = {
     "p5_found": r"""
