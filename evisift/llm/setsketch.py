@@ -39,7 +39,8 @@ def text_elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inner &= p > 32
     inner &= (parts[0] != 10) & (parts[-1] != 10)
     gram = sum(p[inner].astype(np.uint64) << np.uint64(8 * k) for k, p in enumerate(parts))
-    both = np.unique((row[inner].astype(np.uint64) << np.uint64(32)) | gram)
+    both = np.sort((row[inner].astype(np.uint64) << np.uint64(32)) | gram)
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
     return (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
 
 

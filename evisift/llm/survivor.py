@@ -208,6 +208,7 @@ def _prepared(records: DataFrame, trust: DataFrame, ws: Workspace) -> tuple[Data
     ws.release()
     names = [r[0] for r in m.select(F.explode("sources").alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").limit(SOURCES_MOST).collect()]
     claims = ws.write(claim_rows(m, names), "claims")
+    ws.release()
     return m, claims, fuse(claims, names)
 
 
@@ -254,10 +255,10 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
     none = F.lit(2**62)
     return j.groupBy("group").agg(
         F.min("id").alias("group_id"),
-        F.count(F.lit(1)).alias("n"),
+        F.max("id").alias("last_id"),
         F.min(F.struct(F.coalesce(order(title_on, "title_ts"), none).alias("fix"), F.when(title_on, 0).otherwise(F.col("bad")).alias("bad"), "rank", "id")).alias("t"),
         F.min(F.when(date_on | fits, F.struct(F.coalesce(order(date_on, "date_ts"), none).alias("fix"), F.when(date_on, 0).otherwise(-F.col("complete")).alias("c"), "rank", "id"))).alias("d"),
-    ).where("n > 1").select("group_id", F.col("t.id").alias("title_from"), F.col("d.id").alias("issued_from"))
+    ).where("group_id < last_id").select("group_id", F.col("t.id").alias("title_from"), F.col("d.id").alias("issued_from"))
 
 
 def fused_records(records: DataFrame, trust: DataFrame) -> DataFrame:
@@ -265,6 +266,7 @@ def fused_records(records: DataFrame, trust: DataFrame) -> DataFrame:
     ws = Workspace(records.sparkSession, "fused")
     m, claims, model = _prepared(records, trust, ws)
     f = fused_values(claims, model)
-    ids = m.groupBy("group").agg(F.min("id").alias("group_id"))
+    ids = m.groupBy("group").agg(F.min("id").alias("group_id"), F.max("id").alias("last_id"))
     one = f.groupBy("group").agg(*[F.max(F.when(F.col("field") == k, F.col(c))).alias(n) for k, c, n in (("title", "value", "title_words"), ("title", "posterior", "title_posterior"), ("year", "value", "y"), ("year", "posterior", "year_posterior"))])
+    ids = ids.where("group_id < last_id").select("group", "group_id")
     return ids.join(one, "group", "left").select("group_id", "title_words", "title_posterior", F.col("y").cast("int").alias("year"), "year_posterior")
