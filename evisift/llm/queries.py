@@ -70,7 +70,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p4_found": p4_found, "p4_fused": p4_fused, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from evisift.llm.reading import reading_levels
+
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "level_name")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_agreement": p2_agreement, "p2_reliability": p2_reliability, "p4_found": p4_found, "p4_fused": p4_fused, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 ORACLE = {
     "p5_found": r"""
