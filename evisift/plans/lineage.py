@@ -13,6 +13,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +70,14 @@ class Workspace:
                 _remove(self.spark, path)
 
     def release(self) -> None:
-        """Let Spark remove shuffle files of plans that nothing refers to any more."""
+        """Let Spark remove shuffle files of plans that nothing refers to any more.
+
+        Python's references to objects of the JVM are given up by a thread of their own, files are removed by another.
+        """
         gc.collect()
+        time.sleep(0.6)
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
     def _close(self) -> None:
         try:
