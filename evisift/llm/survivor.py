@@ -7,16 +7,15 @@ that a more accurate source probably lent are discounted; posteriors follow from
 which titles are whole (nothing of the fused title is missing) and which dates are plausible (its year agrees).
 Among those the survivor takes the title of the most trusted source and the most complete date; corrections in force go first.
 
-Distribution: claims are one row a group and field, at most one claim a source database, in one written table; a round of the estimation is a map over them that
-returns sums per source and pair of sources. Sources are databases: the ``SOURCES_MOST`` largest keep their identity and the rest
-count as one, so those sums are bounded; no claim is left out. Choices are aggregates of smallest structs, with map-side combining, so a hot
-group costs no memory.
+Distribution: claims are one row a group, with at most one claim a source database, in one written table; a round of the
+estimation is a map over them that returns sums per source and pair of sources. Sources are databases: the largest
+``SOURCES_MOST`` keep their identity and the rest count as one, so those sums are bounded; no record is left out. Choices are
+aggregates of smallest structs, with map-side combining, so a hot group costs no memory.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,48 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evisift.llm.neardup import plausible_year, publication_groups
-from evisift.llm.titles import normal, unmatched
+from evisift.llm.neardup import linked_rows, prepare
+from evisift.llm.titles import unmatched
 from evisift.plans.lineage import Workspace
 
 SOURCES_MOST = 200
-ROUNDS = 4
+ROUNDS = 3
 COPY_RATE, COPY_PRIOR, FALSE_VALUES = 0.8, 0.1, 10
 #: Posterior from which a fused year overrules a date that is more than a year off.
 SURE = 0.8
 
-# Signs of damage in a title.
-_CUT = re.compile(r"(?:…|\.{3}|\[…\]|\[\.\.\.\])\s*$|[\s:–-](?:a|an|and|the|of|in|on|with|for|from|by|to|or|among|versus|plus|at|after)\s*$", re.I)
-_GARBLED = re.compile(r"�|â€|Ã.|Â|ï¬|&#\d+;|\?{2,}")
-_MARKUP = re.compile(r"<[^<>]{1,40}>|&(?:[a-z]{2,8}|#\d+|#x[0-9a-f]+);", re.I)
-_ANNOTATED = re.compile(r"\[[^\]]*\]\s*\.?\s*$|\((?:article|abstract|author|in |english|german|french|spanish|full text|retracted|withdrawn)[^)]*\)\s*\.?\s*$|(?:full text|abstract|pdf|available online|available) ?(?:available|only|online)?\.?\s*$", re.I)
-
-
-def evident_damage(title: str | None) -> bool:
-    """Whether a title shows by itself that it is cut, shouted, garbled, marked up or annotated; a blank one counts as damaged."""
-    if not title or not title.strip():
-        return True
-    letters = [c for c in title if c.isalpha()]
-    if len(letters) > 8 and sum(c.isupper() for c in letters) > 0.7 * len(letters):
-        return True
-    noted = _ANNOTATED.search(title)
-    return bool(_CUT.search(title) or _GARBLED.search(title) or _MARKUP.search(title) or noted and noted.start() > 0)
-
-
-def date_text(parts: list[int | None] | None) -> str:
-    """Date parts as text, ``YYYY-MM-DD`` or the known part of it."""
-    known = []
-    for x in parts or []:
-        if x is None:
-            break
-        known.append(x)
-    return "-".join(str(x) if k == 0 else f"{x:02d}" for k, x in enumerate(known[:3]))
-
-
-def completeness(parts: list[int | None] | None) -> int:
-    """Number of known parts of a plausible date, 0 if none or not plausible."""
-    return min(date_text(parts).count("-") + 1, 3) if parts and plausible_year(parts) > 0 else 0
-
 
 def field_of(c):
     """Freely spelled field names of corrections: ``title``, ``issued`` (also year, date, published) or as they are."""
@@ -73,32 +40,6 @@ def field_of(c):
     return F.when(t.rlike(r"^(article )?title$"), "title").when(t.rlike(r"^(issued|year|date|pub(lication|lished)?[ _-]?(date|year)?|date[ _-]issued)$"), "issued").otherwise(t)
 
 
-def members(records: DataFrame, groups: DataFrame, trust: DataFrame) -> DataFrame:
-    """One row a record of a group: raw values, folded title, damage, date completeness, year, databases, best trust rank."""
-    ranks = trust.where("db_name is not null").groupBy("db_name").agg(F.min("trust_rank").alias("r"))
-    known = dict(ranks.limit(10_001).collect())  # a list of databases, checked below
-    if len(known) > 10_000:
-        raise ValueError("source_trust lists more than 10,000 databases")
-    last = max(known.values(), default=0) + 1
-    r = records.select("id", "title", F.expr("get(issued.date_parts, 0)").alias("date"), F.expr("array_sort(array_distinct(filter(meta.sources.db_name, x -> x is not null)))").alias("sources"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            title, date, src = (b.column(c).to_pylist() for c in ("title", "date", "sources"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"), b.column("group"), b.column("title"), pa.array([normal(t) for t in title], pa.string()), pa.array([evident_damage(t) for t in title], pa.bool_()),
-                    pa.array([date_text(x) for x in date], pa.string()), pa.array([completeness(x) for x in date], pa.int32()), pa.array([plausible_year(x) for x in date], pa.int32()),
-                    b.column("sources"), pa.array([min((known.get(s, last) for s in x or []), default=last) for x in src], pa.int32()),
-                ],
-                names=["id", "group", "title", "words", "damaged", "date", "complete", "year", "sources", "rank"],
-            )
-
-    kind = groups.schema["group"].dataType.simpleString()
-    schema = f"id string, group {kind}, title string, words string, damaged boolean, date string, complete int, year int, sources array<string>, rank int"
-    return r.join(groups, "id").select("id", "group", "title", "date", "sources").mapInArrow(run, schema)
-
-
 class Sources:
     """Accuracies of sources and probabilities that one of a pair copies from the other."""
 
@@ -129,29 +70,36 @@ def _sums(claims: DataFrame, model: Sources) -> tuple[np.ndarray, ...]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pair = np.zeros((2, n)), np.zeros((3, n, n))
         for b in batches:
-            for who, what in zip(b.column("who").to_pylist(), b.column("what").to_pylist()):
-                c = list(zip(who, what))
-                p = model.posterior(c)
-                for k, (s, v) in enumerate(c):
-                    own[0, s] += 1
-                    own[1, s] += p[v]
-                    for t, w in c[:k]:
-                        if v == w:
-                            pair[0, s, t] += p[v]
-                            pair[1, s, t] += 1 - p[v]
-                        else:
-                            pair[2, s, t] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.concatenate([own.ravel(), pair.ravel()]).tolist()])], names=["k", "x"])
-
-    parts = claims.select("who", "what").mapInArrow(run, "k bigint, x array<double>")
-    flat = parts.select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("x")).orderBy("pos").toPandas()["x"].to_numpy()
-    if not len(flat):
-        flat = np.zeros(2 * n + 3 * n * n)
+            for claim in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
+                for c in _fields(*claim):
+                    p = model.posterior(c)
+                    for k, (s, v) in enumerate(c):
+                        own[0, s] += 1
+                        own[1, s] += p[v]
+                        for t, w in c[:k]:
+                            if v == w:
+                                pair[0, s, t] += p[v]
+                                pair[1, s, t] += 1 - p[v]
+                            else:
+                                pair[2, s, t] += 1
+        flat = np.concatenate([own.ravel(), pair.ravel()])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
+
+    got = claims.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    flat = np.zeros(2 * n + 3 * n * n)
+    flat[got["at"].to_numpy()] = got["x"].to_numpy()
     return flat[: 2 * n].reshape(2, n), flat[2 * n :].reshape(3, n, n)
 
 
+def _fields(who: list[int], title: list[str | None], year: list[int | None]) -> list[list[tuple[int, object]]]:
+    """The claims of a group, title and year apart."""
+    both = [(s, t) for s, t in zip(who, title) if t is not None], [(s, y) for s, y in zip(who, year) if y is not None]
+    return [c for c in both if c]
+
+
 def fuse(claims: DataFrame, names: list[str], rounds: int = ROUNDS) -> Sources:
-    """Accuracies and copying from ``claims`` (``who`` array<int>, ``what`` array<string>; one row a group and field)."""
+    """Accuracies and copying from ``claims`` (rows of :func:`claim_rows`)."""
     model = Sources(names)
     for _ in range(rounds):
         own, pair = _sums(claims, model)
@@ -167,33 +115,38 @@ def fuse(claims: DataFrame, names: list[str], rounds: int = ROUNDS) -> Sources:
 
 
 def claim_rows(m: DataFrame, names: list[str]) -> DataFrame:
-    """``(group, field, who, what)``: of each group the commonest value that each source claims for title and year.
+    """``(group, who, title, year)``: arrays with one claim a source, of its longest title without evident damage and of the year of its most complete date.
 
     Evidently damaged titles and implausible dates claim nothing.
     """
     at = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, k)]) if names else F.lit(None).cast("map<string,int>")
-    each = m.select("group", F.explode("sources").alias("s"), F.when(~F.col("damaged"), F.col("words")).alias("title"), F.when(F.col("year") > 0, F.col("year").cast("string")).alias("year"))
-    each = each.select("group", F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"), F.explode(F.create_map(F.lit("title"), F.col("title"), F.lit("year"), F.col("year"))).alias("field", "value")).where("value is not null")
-    best = each.groupBy("group", "field", "s", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("group", "field", "s").agg(F.max_by("value", F.struct("n", "value")).alias("v"))
-    rows = best.groupBy("group", "field").agg(F.collect_list(F.struct("s", "v")).alias("c"))
-    return rows.select("group", "field", F.col("c.s").alias("who"), F.col("c.v").alias("what"))
+    each = m.select("group", F.explode("sources").alias("s"), F.when(~F.col("damaged"), F.struct(F.length("words"), F.col("words").alias("w"))).alias("t"), F.when(F.col("year") > 0, F.struct("complete", F.col("year").alias("y"))).alias("d"))
+    each = each.select("group", F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"), "t", "d")
+    best = each.groupBy("group", "s").agg(F.max("t").getField("w").alias("w"), F.max("d").getField("y").alias("y"))
+    rows = best.groupBy("group").agg(F.collect_list(F.struct("s", "w", "y")).alias("c"))
+    return rows.select("group", F.col("c.s").alias("who"), F.col("c.w").alias("title"), F.col("c.y").alias("year"))
 
 
 def fused_values(claims: DataFrame, model: Sources) -> DataFrame:
-    """``(group, field, value, posterior)``: the value of largest posterior (ties: the longer, then the smaller one)."""
+    """``(group, title, title_posterior, longest, year, year_posterior)``: the values of largest posterior (ties: the longer, then the smaller one) and the longest title."""
+
+    def best(c: list[tuple[int, object]]) -> tuple[object, float | None]:
+        if not c:
+            return None, None
+        p = model.posterior(c)
+        v = min(p, key=lambda x: (-round(p[x], 9), -len(str(x)), x))
+        return v, p[v]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value, sure = [], []
-            for who, what in zip(b.column("who").to_pylist(), b.column("what").to_pylist()):
-                p = model.posterior(list(zip(who, what)))
-                v = min(p, key=lambda x: (-round(p[x], 9), -len(x), x))
-                value.append(v)
-                sure.append(p[v])
-            yield pa.RecordBatch.from_arrays([b.column("group"), b.column("field"), pa.array(value, pa.string()), pa.array(sure, pa.float64())], names=["group", "field", "value", "posterior"])
+            out = []
+            for who, title, year in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
+                t, y = [(s, x) for s, x in zip(who, title) if x is not None], [(s, x) for s, x in zip(who, year) if x is not None]
+                out.append((*best(t), max((x for _, x in t), key=lambda x: (x.count(" "), len(x), x), default=None), *best(y)))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column("group"), *[pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.string(), pa.int32(), pa.float64()))]], names=["group", "title", "title_posterior", "longest", "year", "year_posterior"])
 
-    kind = claims.schema["group"].dataType.simpleString()
-    return claims.mapInArrow(run, f"group {kind}, field string, value string, posterior double")
+    return claims.mapInArrow(run, "group bigint, title string, title_posterior double, longest string, year int, year_posterior double")
 
 
 def in_force(amendments: DataFrame) -> DataFrame:
@@ -203,8 +156,17 @@ def in_force(amendments: DataFrame) -> DataFrame:
 
 
 def _prepared(records: DataFrame, trust: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, Sources]:
-    groups = publication_groups(records, ws)
-    m = ws.write(members(records, groups, trust), "members")
+    ranks = dict(trust.where("db_name is not null").groupBy("db_name").agg(F.min("trust_rank").alias("r")).limit(10_001).collect())  # a list of databases, checked
+    if len(ranks) > 10_000:
+        raise ValueError("source_trust lists more than 10,000 databases")
+    last = max(ranks.values(), default=0) + 1
+    rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]) if ranks else F.lit(None).cast("map<string,int>")
+    prepared = ws.write(prepare(records, survivor=True), "prepared")
+    groups = linked_rows(prepared, ws)
+    best = F.coalesce(F.array_min(F.transform("sources", lambda s: F.coalesce(F.try_element_at(rank, s), F.lit(last)))), F.lit(last))
+    m = prepared.select("rid", "id", "words", "damaged", "date", "complete", "year", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "title_hash", best.alias("rank")).join(groups, "rid").drop("rid")
+    m = ws.write(m, "members")
+    ws.drop(prepared)
     ws.release()
     names = [r[0] for r in m.select(F.explode("sources").alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").limit(SOURCES_MOST).collect()]
     claims = ws.write(claim_rows(m, names), "claims")
@@ -217,56 +179,39 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
 
     title_from: the member with the latest title correction in force, else of the members with a whole title the one with the most
     trusted source, else (no title is whole) of all members the one with the least damage. issued_from: likewise, else the most complete plausible date;
-    null if no member has a plausible date. Ties go to the better source (for dates), then to the smaller id.
+    null if no member has a plausible date. Ties go to the better source, then to the smaller id.
     """
     ws = Workspace(records.sparkSession, "survivor")
     m, claims, model = _prepared(records, trust, ws)
-    fused = fused_values(claims, model).groupBy("group").agg(
-        F.max(F.when(F.col("field") == "title", F.col("value"))).alias("fused_title"),
-        F.max(F.when((F.col("field") == "year") & (F.col("posterior") >= SURE), F.col("value").cast("int"))).alias("fused_year"),
-    )
-    longest = m.where("not damaged").groupBy("group").agg(F.max_by("words", F.struct(F.size(F.split("words", " ")), F.col("words"))).alias("longest"))
-    reference = fused.join(longest, "group", "full")
-    latest = in_force(amendments)
-    title_fix = latest.where("field = 'title'").select("id", F.col("new_value").alias("title_new"), F.col("ts").alias("title_ts"))
-    date_fix = latest.where("field = 'issued'").select("id", F.col("new_value").alias("date_new"), F.col("ts").alias("date_ts"))
-    j = m.join(reference, "group", "left").join(title_fix, "id", "left").join(date_fix, "id", "left")
+    fused = fused_values(claims, model).select("group", "title", "longest", F.when(F.col("year_posterior") >= SURE, F.col("year")).alias("fused_year"))
+    j = m.select("group", "id", "words", "damaged", "complete", "year", "rank").join(fused, "group", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, damaged, fused_title, longest_title = (b.column(c).to_pylist() for c in ("words", "damaged", "fused_title", "longest"))
-            bad = []
-            for w, d, f, g in zip(words, damaged, fused_title, longest_title):
-                cut = False
-                for ref in {f, g} - {None}:
-                    if not d and ref != w:
-                        missing = unmatched(ref, w)[0]
-                        cut |= len(missing) >= 2 and len(w.split()) < len(ref.split())
-                bad.append(2 if d else 1 if cut else 0)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "group", "title", "date", "complete", "year", "rank", "fused_year", "title_new", "title_ts", "date_new", "date_ts")], pa.array(bad, pa.int32())], names=[*"id group title date complete year rank fused_year title_new title_ts date_new date_ts bad".split()])
-
-    kind = m.schema["group"].dataType.simpleString()
-    j = j.mapInArrow(run, f"id string, group {kind}, title string, date string, complete int, year int, rank int, fused_year int, title_new string, title_ts timestamp, date_new string, date_ts timestamp, bad int")
-    title_on = F.col("title_ts").isNotNull() & ~F.col("title_new").eqNullSafe(F.trim("title"))
-    date_on = F.col("date_ts").isNotNull() & ~F.coalesce("date_new", F.lit("")).eqNullSafe(F.col("date"))
-    # timestamps descend as negative microseconds; members without a correction come after all others
-    order = lambda on, ts: F.when(on, -F.unix_micros(ts))
+            bad = [2 if d else int(_cut(w, {f, g} - {None, w})) for w, d, f, g in zip(*(b.column(c).to_pylist() for c in ("words", "damaged", "title", "longest")))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("group", "id", "complete", "year", "rank", "fused_year")], pa.array(bad, pa.int32())], names=["group", "id", "complete", "year", "rank", "fused_year", "bad"])
+
+    j = j.mapInArrow(run, "group bigint, id string, complete int, year int, rank int, fused_year int, bad int")
     fits = (F.col("complete") > 0) & (F.col("fused_year").isNull() | (F.abs(F.col("year") - F.col("fused_year")) <= 1))
-    none = F.lit(2**62)
-    return j.groupBy("group").agg(
-        F.min("id").alias("group_id"),
-        F.max("id").alias("last_id"),
-        F.min(F.struct(F.coalesce(order(title_on, "title_ts"), none).alias("fix"), F.when(title_on, 0).otherwise(F.col("bad")).alias("bad"), "rank", "id")).alias("t"),
-        F.min(F.when(date_on | fits, F.struct(F.coalesce(order(date_on, "date_ts"), none).alias("fix"), F.when(date_on, 0).otherwise(-F.col("complete")).alias("c"), "rank", "id"))).alias("d"),
-    ).where("group_id < last_id").select("group_id", F.col("t.id").alias("title_from"), F.col("d.id").alias("issued_from"))
+    chosen = j.groupBy("group").agg(
+        F.min("id").alias("group_id"), F.max("id").alias("last_id"),
+        F.min(F.struct("bad", "rank", "id")).getField("id").alias("title_id"),
+        F.min(F.when(fits, F.struct((-F.col("complete")).alias("c"), "rank", "id"))).getField("id").alias("date_id"),
+    ).where("group_id < last_id")
+    # corrections are few beside records: they meet a few narrow columns of the members
+    fix = in_force(amendments).join(m.select("id", "group", "title_hash", "date"), "id")
+    fix = fix.where((F.col("field") == "title") & (F.xxhash64("new_value") != F.col("title_hash")) | (F.col("field") == "issued") & (F.coalesce("new_value", F.lit("")) != F.col("date")))
+    last = fix.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.struct("ts", "id"))).getField("id").alias(f"{f}_fix") for f in ("title", "issued")])
+    return chosen.join(last, "group", "left").select("group_id", F.coalesce("title_fix", "title_id").alias("title_from"), F.coalesce("issued_fix", "date_id").alias("issued_from"))
+
+
+def _cut(words: str, references: set[str]) -> bool:
+    """Whether two or more words of a longer reference title are missing."""
+    return any(words.count(" ") < r.count(" ") and len(unmatched(r, words)[0]) >= 2 for r in references)
 
 
 def fused_records(records: DataFrame, trust: DataFrame) -> DataFrame:
-    """``(group_id, title_words, title_posterior, year, year_posterior)``: the fused values of every group."""
-    ws = Workspace(records.sparkSession, "fused")
-    m, claims, model = _prepared(records, trust, ws)
-    f = fused_values(claims, model)
-    ids = m.groupBy("group").agg(F.min("id").alias("group_id"), F.max("id").alias("last_id"))
-    one = f.groupBy("group").agg(*[F.max(F.when(F.col("field") == k, F.col(c))).alias(n) for k, c, n in (("title", "value", "title_words"), ("title", "posterior", "title_posterior"), ("year", "value", "y"), ("year", "posterior", "year_posterior"))])
-    ids = ids.where("group_id < last_id").select("group", "group_id")
-    return ids.join(one, "group", "left").select("group_id", "title_words", "title_posterior", F.col("y").cast("int").alias("year"), "year_posterior")
+    """``(group_id, title_words, title_posterior, year, year_posterior)``: the fused values of every group of two or more records."""
+    m, claims, model = _prepared(records, trust, Workspace(records.sparkSession, "fused"))
+    ids = m.groupBy("group").agg(F.min("id").alias("group_id"), F.max("id").alias("last_id")).where("group_id < last_id").select("group", "group_id")
+    return ids.join(fused_values(claims, model), "group", "left").select("group_id", F.col("title").alias("title_words"), "title_posterior", "year", "year_posterior")

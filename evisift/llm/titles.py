@@ -125,3 +125,24 @@ def unmatched(a: str, b: str) -> tuple[list[str], list[str], int]:
 def marking(words: list[str]) -> bool:
     """Whether one of the words is, up to two slips, one that marks another publication."""
     return any(len(w) > 6 and close(w, m, 2) for w in words for m in _MARKING)
+
+
+# Signs of damage in a title.
+_CUT = re.compile(r"(?:…|\.{3}|\[…\]|\[\.\.\.\])\s*$|[\s:–-](?:a|an|and|the|of|in|on|with|for|from|by|to|or|among|versus|plus|at|after)\s*$", re.I)
+_GARBLED = re.compile(r"�|â€|Ã.|Â|ï¬|&#\d+;|\?{2,}")
+_MARKUP = re.compile(r"<[^<>]{1,40}>|&(?:[a-z]{2,8}|#\d+|#x[0-9a-f]+);", re.I)
+_ANNOTATED = re.compile(r".\[[^\]]*\]\s*\.?\s*$|.\((?:article|abstract|author|in |english|german|french|spanish|full text|retracted|withdrawn)[^)]*\)\s*\.?\s*$|.(?:full text|abstract|pdf|available online|available) ?(?:available|only|online)?\.?\s*$", re.I)
+
+
+def evident_damage(title: str | None) -> bool:
+    """Whether a title shows by itself that it is cut, shouted, garbled, marked up or annotated; a blank one counts as damaged."""
+    if not title or not title.strip():
+        return True
+    if title[:20].isupper() and len(title) > 8:
+        letters = [c for c in title if c.isalpha()]
+        if len(letters) > 8 and sum(map(str.isupper, letters)) > 0.7 * len(letters):
+            return True
+    if ("&" in title or "<" in title) and _MARKUP.search(title) or (not title.isascii() or "&#" in title or "??" in title) and _GARBLED.search(title):
+        return True
+    end = title[-40:]
+    return bool(_CUT.search(end) or _ANNOTATED.search(end if "[" in end or "(" in end else title[-160:]))
