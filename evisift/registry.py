@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from evisift.catalog import screening, units
 
-from evisift.session import table
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    from evisift.operators.units import convert_quantities
-
-    return convert_quantities(table(spark, d, "extraction_values"), table(spark, d, "form_fields"), table(spark, d, "unit_registry"))
-
-
-QUERIES = {"p3_found": p3_found}
-ORACLE: dict[str, str] = {}
+MODULES = (units, screening)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
