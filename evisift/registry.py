@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evisift.catalog import screening, units
+from evisift.catalog import effects, records, screening, units
 
-MODULES = (units, screening)
+MODULES = (units, screening, records, effects)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
