@@ -29,8 +29,8 @@ ANNOTATORS_MOST = 100_000
 ROUNDS = 25
 CLOSE = 2e-3
 START = (0.7, 0.05, 0.5)
-#: Pseudo-counts that keep parameters of annotators with few votes off the bounds.
-PRIOR_TRUTH, PRIOR_CONTRARY, PRIOR_GUESS = 1.0, 0.2, 1.0
+#: Pseudo-counts: an annotator with few votes is taken for a fairly truthful one.
+PRIOR_TRUTH, PRIOR_CONTRARY, PRIOR_GUESS = 6.0, 0.2, 1.0
 
 SUMS = ["n", "truth", "contrary", "guess1", "guess0"]
 
@@ -137,8 +137,8 @@ def _round(items: DataFrame, model: Model) -> pd.DataFrame:
 
 def _estimates(n, truth, contrary, guess1, guess0):
     """Parameters from expected counts; works on arrays and on columns."""
-    most = n + (PRIOR_TRUTH + PRIOR_CONTRARY + PRIOR_GUESS)
-    return (truth + PRIOR_TRUTH * 0.7) / most, (contrary + PRIOR_CONTRARY * 0.5) / most, (guess1 + PRIOR_GUESS) / (guess1 + guess0 + 2 * PRIOR_GUESS)
+    most = n + (PRIOR_TRUTH + PRIOR_CONTRARY + 2 * PRIOR_GUESS)
+    return (truth + PRIOR_TRUTH) / most, (contrary + PRIOR_CONTRARY) / most, (guess1 + PRIOR_GUESS) / (guess1 + guess0 + 2 * PRIOR_GUESS)
 
 
 def fit(items: DataFrame, keys: np.ndarray, stages: list[str], rounds: int = ROUNDS, close: float = CLOSE) -> Model:
