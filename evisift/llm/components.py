@@ -58,8 +58,7 @@ def connected_components(edges: DataFrame, workspace: Workspace | None = None) -
     """
     spark = edges.sparkSession
     ws = workspace or Workspace(spark, "components")
-    graph, rounds = ws.write(edges.select("u", "v"), "edges"), []
-    left = graph.count()
+    (graph, left), rounds = ws.counted(edges.select("u", "v"), "edges"), []
     while left:
         limit = max(HOT_LEAST, 2 * left // HOT_MOST)
         both = graph.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select(
@@ -70,10 +69,10 @@ def connected_components(edges: DataFrame, workspace: Workspace | None = None) -
         told = ws.write(told, "told")
         chosen = told.groupBy("x").agg(F.min("m").alias("low"), F.max((F.col("x") == F.col("m")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
         nxt = join_one(told, chosen, "x", "n", limit, 4 * left).where("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
-        nxt = ws.write(nxt, "edges")
+        nxt, more = ws.counted(nxt, "edges")
         rounds.append((chosen.where("kept = 0").select(F.col("x").alias("id"), F.col("low").alias("up")), 2 * left))
         ws.drop(graph)
-        graph, left = nxt, nxt.count()
+        graph, left = nxt, more
     if not rounds:
         return graph.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
     # the vertices that stayed to the end of the last round in which they had edges are the seeds

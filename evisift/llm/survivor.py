@@ -120,9 +120,11 @@ def claim_rows(m: DataFrame, names: list[str]) -> DataFrame:
     Evidently damaged titles and implausible dates claim nothing.
     """
     at = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, k)]) if names else F.lit(None).cast("map<string,int>")
-    each = m.select("group", F.explode("sources").alias("s"), F.when(~F.col("damaged"), F.struct(F.length("words"), F.col("words").alias("w"))).alias("t"), F.when(F.col("year") > 0, F.struct("complete", F.col("year").alias("y"))).alias("d"))
-    each = each.select("group", F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"), "t", "d")
-    best = each.groupBy("group", "s").agg(F.max("t").getField("w").alias("w"), F.max("d").getField("y").alias("y"))
+    claim = F.struct(
+        F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"),
+        F.when(~F.col("damaged"), F.struct(F.length("words"), F.col("words").alias("w"))).alias("t"), F.when(F.col("year") > 0, F.struct("complete", F.col("year").alias("y"))).alias("d"),
+    )
+    best = m.withColumn("s", F.explode("sources")).select("group", claim.alias("c")).groupBy("group", "c.s").agg(F.max("c.t").getField("w").alias("w"), F.max("c.d").getField("y").alias("y"))
     rows = best.groupBy("group").agg(F.collect_list(F.struct("s", "w", "y")).alias("c"))
     return rows.select("group", F.col("c.s").alias("who"), F.col("c.w").alias("title"), F.col("c.y").alias("year"))
 
