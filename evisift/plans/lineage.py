@@ -16,7 +16,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -54,6 +55,12 @@ class Workspace:
         self.n = 0
         atexit.register(self._close)
 
+    def counted(self, df: DataFrame, label: str = "t") -> tuple[DataFrame, int]:
+        """Write ``df``; the written table and its number of rows, counted while it is written."""
+        seen = Observation(f"rows-{self.n}")
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+        return out, seen.get["n"]
+
     def write(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return a DataFrame that reads the written table."""
         self.n += 1
