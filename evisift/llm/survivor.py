@@ -16,6 +16,7 @@ aggregates of smallest structs, with map-side combining, so a hot group costs no
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,29 +65,38 @@ class Sources:
         return {v: w / total for v, w in weights.items()}
 
 
+def _pattern(claim: list[tuple[int, object]]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Who claims, in order, and which of them agree: all that posteriors depend on."""
+    claim = sorted(claim, key=lambda c: c[0])
+    number: dict[object, int] = {}
+    return tuple(s for s, _ in claim), tuple(number.setdefault(v, len(number)) for _, v in claim)
+
+
 def _sums(claims: DataFrame, model: Sources) -> tuple[np.ndarray, ...]:
     n = len(model.accuracy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pair = np.zeros((2, n)), np.zeros((3, n, n))
+        seen: Counter = Counter()
         for b in batches:
             for claim in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
-                for c in _fields(*claim):
-                    p = model.posterior(c)
-                    for k, (s, v) in enumerate(c):
-                        own[0, s] += 1
-                        own[1, s] += p[v]
-                        for t, w in c[:k]:
-                            if v == w:
-                                pair[0, s, t] += p[v]
-                                pair[1, s, t] += 1 - p[v]
-                            else:
-                                pair[2, s, t] += 1
+                seen.update(map(_pattern, _fields(*claim)))
+        own, pair = np.zeros((2, n)), np.zeros((3, n, n))
+        for (who, what), times in seen.items():
+            p = model.posterior(list(zip(who, what)))
+            for k, (s, v) in enumerate(zip(who, what)):
+                own[0, s] += times
+                own[1, s] += times * p[v]
+                for t, w in zip(who[:k], what[:k]):
+                    if v == w:
+                        pair[0, s, t] += times * p[v]
+                        pair[1, s, t] += times * (1 - p[v])
+                    else:
+                        pair[2, s, t] += times
         flat = np.concatenate([own.ravel(), pair.ravel()])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
 
-    got = claims.mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    got = claims.select("who", "title", "year").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     flat = np.zeros(2 * n + 3 * n * n)
     flat[got["at"].to_numpy()] = got["x"].to_numpy()
     return flat[: 2 * n].reshape(2, n), flat[2 * n :].reshape(3, n, n)
@@ -120,11 +130,10 @@ def claim_rows(m: DataFrame, names: list[str]) -> DataFrame:
     Evidently damaged titles and implausible dates claim nothing.
     """
     at = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, k)]) if names else F.lit(None).cast("map<string,int>")
-    claim = F.struct(
-        F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"),
-        F.when(~F.col("damaged"), F.struct(F.length("words"), F.col("words").alias("w"))).alias("t"), F.when(F.col("year") > 0, F.struct("complete", F.col("year").alias("y"))).alias("d"),
-    )
-    best = m.withColumn("s", F.explode("sources")).select("group", claim.alias("c")).groupBy("group", "c.s").agg(F.max("c.t").getField("w").alias("w"), F.max("c.d").getField("y").alias("y"))
+    title = F.when(~F.col("damaged"), F.struct(F.length("words"), F.col("words").alias("w"))).alias("t")
+    each = m.select("group", F.explode("sources").alias("s"), title, F.when(F.col("year") > 0, F.struct("complete", F.col("year").alias("y"))).alias("d"))
+    each = each.select("group", F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"), "t", "d")
+    best = each.groupBy("group", "s").agg(F.max("t").getField("w").alias("w"), F.max("d").getField("y").alias("y"))
     rows = best.groupBy("group").agg(F.collect_list(F.struct("s", "w", "y")).alias("c"))
     return rows.select("group", F.col("c.s").alias("who"), F.col("c.w").alias("title"), F.col("c.y").alias("year"))
 
@@ -132,12 +141,18 @@ def claim_rows(m: DataFrame, names: list[str]) -> DataFrame:
 def fused_values(claims: DataFrame, model: Sources) -> DataFrame:
     """``(group, title, title_posterior, longest, year, year_posterior)``: the values of largest posterior (ties: the longer, then the smaller one) and the longest title."""
 
+    known: dict = {}
+
     def best(c: list[tuple[int, object]]) -> tuple[object, float | None]:
         if not c:
             return None, None
-        p = model.posterior(c)
-        v = min(p, key=lambda x: (-round(p[x], 9), -len(str(x)), x))
-        return v, p[v]
+        c = sorted(c, key=lambda x: x[0])
+        who, what = pattern = _pattern(c)
+        p = known.get(pattern)
+        if p is None:
+            p = known[pattern] = model.posterior(list(zip(who, what)))
+        v, k = min(((v, k) for (_, v), k in zip(c, what)), key=lambda x: (-round(p[x[1]], 9), -len(str(x[0])), x[0]))
+        return v, p[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,10 +178,13 @@ def _prepared(records: DataFrame, trust: DataFrame, ws: Workspace) -> tuple[Data
         raise ValueError("source_trust lists more than 10,000 databases")
     last = max(ranks.values(), default=0) + 1
     rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]) if ranks else F.lit(None).cast("map<string,int>")
-    prepared = ws.write(prepare(records, survivor=True), "prepared")
-    groups = linked_rows(prepared, ws)
+    prepared, rows = ws.counted(prepare(records, survivor=True), "prepared")
+    groups = linked_rows(prepared, rows, ws)
+    listed = F.filter(F.split(F.coalesce("sources", F.lit("")), "\x1f"), lambda s: s != "")
     best = F.coalesce(F.array_min(F.transform("sources", lambda s: F.coalesce(F.try_element_at(rank, s), F.lit(last)))), F.lit(last))
-    m = prepared.select("rid", "id", "words", "damaged", "date", "complete", "year", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "title_hash", best.alias("rank")).join(groups, "rid").drop("rid")
+    complete = F.expr("case when year < 0 then 0 when date_code div 100 % 100 = 99 then 1 when date_code % 100 = 99 then 2 else 3 end")
+    wide = prepared.select("rid", "id", "words", "damaged", "date_code", "year", "sources", "title_hash")
+    m = wide.join(groups.hint("shuffle_hash"), "rid").withColumn("sources", listed).select("group", "id", "words", "damaged", "date_code", "year", complete.alias("complete"), "sources", "title_hash", best.alias("rank"))
     m = ws.write(m, "members")
     ws.drop(prepared)
     ws.release()
@@ -186,7 +204,7 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
     ws = Workspace(records.sparkSession, "survivor")
     m, claims, model = _prepared(records, trust, ws)
     fused = fused_values(claims, model).select("group", "title", "longest", F.when(F.col("year_posterior") >= SURE, F.col("year")).alias("fused_year"))
-    j = m.select("group", "id", "words", "damaged", "complete", "year", "rank").join(fused, "group", "left")
+    j = m.select("group", "id", "words", "damaged", "complete", "year", "rank").join(fused.hint("shuffle_hash"), "group", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +219,9 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
         F.min(F.when(fits, F.struct((-F.col("complete")).alias("c"), "rank", "id"))).getField("id").alias("date_id"),
     ).where("group_id < last_id")
     # corrections are few beside records: they meet a few narrow columns of the members
-    fix = in_force(amendments).join(m.select("id", "group", "title_hash", "date"), "id")
+    part = lambda c: F.lpad(F.nullif(c, F.lit(99)).cast("string"), 2, "0")
+    date = F.when(F.col("date_code") < 0, "").otherwise(F.concat_ws("-", F.floor(F.col("date_code") / 10000).cast("string"), part(F.floor(F.col("date_code") / 100) % 100), part(F.col("date_code") % 100)))
+    fix = in_force(amendments).join(m.select("id", "group", "title_hash", date.alias("date")), "id")
     fix = fix.where((F.col("field") == "title") & (F.xxhash64("new_value") != F.col("title_hash")) | (F.col("field") == "issued") & (F.coalesce("new_value", F.lit("")) != F.col("date")))
     last = fix.groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.struct("ts", "id"))).getField("id").alias(f"{f}_fix") for f in ("title", "issued")])
     return chosen.join(last, "group", "left").select("group_id", F.coalesce("title_fix", "title_id").alias("title_from"), F.coalesce("issued_fix", "date_id").alias("issued_from"))
@@ -209,7 +229,8 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
 
 def _cut(words: str, references: set[str]) -> bool:
     """Whether two or more words of a longer reference title are missing."""
-    return any(words.count(" ") < r.count(" ") and len(unmatched(r, words)[0]) >= 2 for r in references)
+    have, n = set(words.split()), words.count(" ")
+    return any(n < r.count(" ") and len(set(r.split()) - have) >= 2 and len(unmatched(r, words)[0]) >= 2 for r in references)
 
 
 def fused_records(records: DataFrame, trust: DataFrame) -> DataFrame:
