@@ -14,13 +14,13 @@ spread over ``SALTS`` partitions with the one matching row replicated as often.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evisift.plans.lineage import Workspace
 
 SALTS = 16
-HOT_LEAST = 200_000
+HOT_LEAST = 2_000_000
 HOT_MOST = 1_000
 
 
@@ -64,11 +64,19 @@ def connected_components(edges: DataFrame, workspace: Workspace | None = None) -
         both = graph.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select(
             F.col("e.u").alias("x"), F.col("e.v").alias("y")
         )
-        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        told = join_one(both, least, "x", "n", limit, 2 * left).select(F.col("y").alias("x"), "m").unionByName(least.select("x", "m")).distinct()
-        told = ws.write(told, "told")
-        chosen = told.groupBy("x").agg(F.min("m").alias("low"), F.max((F.col("x") == F.col("m")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
-        nxt = join_one(told, chosen, "x", "n", limit, 4 * left).where("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
+        if 4 * left <= limit:
+            # no vertex can be hot: its rows meet in one task
+            w = Window.partitionBy("x")
+            m = F.least("x", F.min("y").over(w))
+            told = ws.write(both.select("x", "y", m.alias("m")).select(F.explode(F.array("x", "y")).alias("x"), "m").distinct(), "told")
+            nxt = told.select("x", "m", F.min("m").over(w).alias("low")).where("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
+        else:
+            least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+            told = join_one(both, least, "x", "n", limit, 2 * left).select(F.col("y").alias("x"), "m").unionByName(least.select("x", "m")).distinct()
+            told = ws.write(told, "told")
+            chosen = told.groupBy("x").agg(F.min("m").alias("low"), F.count(F.lit(1)).alias("n"))
+            nxt = join_one(told, chosen, "x", "n", limit, 4 * left).where("m <> low").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
+        chosen = told.groupBy("x").agg(F.min("m").alias("low"), F.max((F.col("x") == F.col("m")).cast("int")).alias("kept"))
         nxt, more = ws.counted(nxt, "edges")
         rounds.append((chosen.where("kept = 0").select(F.col("x").alias("id"), F.col("low").alias("up")), 2 * left))
         ws.drop(graph)
@@ -85,7 +93,7 @@ def connected_components(edges: DataFrame, workspace: Workspace | None = None) -
             heads = sizes.join(labels.select(F.col("id").alias("up"), "group_id"), "up", "left").select("up", "n", F.coalesce("group_id", "up").alias("group_id"))
             done = join_one(tree, heads, "up", "n", HOT_LEAST, most).select("id", "group_id")
         labels = done if labels is None else labels.unionByName(done)
-        if k % 3 == 2:
+        if k % 3 == 2 and k + 1 < len(rounds):
             labels = ws.write(labels, "labels")
     labels = ws.write(labels, "labels")
     seeds = labels.select(F.col("group_id").alias("id"), "group_id").distinct()
