@@ -14,8 +14,8 @@ BASE = 1.1
 SHIFT = 40
 GRAM = 4
 _rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
+_MUL = _rng.integers(1, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,10 +51,10 @@ def sketches(row: np.ndarray, element: np.ndarray, rows: int) -> tuple[np.ndarra
     has = np.flatnonzero(size)
     if len(has):
         start = np.concatenate(([0], np.cumsum(size[has])[:-1]))
-        h = mix(element + np.uint64(0x9E3779B97F4A7C15))
+        h = (mix(element + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         for j in range(REGISTERS):
             low = np.minimum.reduceat(h * _MUL[j] + _ADD[j], start)
-            u = (low.astype(np.float64) + 0.5) / 2.0**64
+            u = (low.astype(np.float64) + 0.5) / 2.0**32
             k = np.floor(1 - np.log(-np.log1p(-u)) / np.log(BASE)) + SHIFT
             out[has, j] = np.clip(k, 1, 255).astype(np.uint8)
     return out, size

@@ -29,7 +29,7 @@ from evisift.llm.titles import unmatched
 from evisift.plans.lineage import Workspace
 
 SOURCES_MOST = 200
-ROUNDS = 3
+ROUNDS = 4
 COPY_RATE, COPY_PRIOR, FALSE_VALUES = 0.8, 0.1, 10
 #: Posterior from which a fused year overrules a date that is more than a year off.
 SURE = 0.8
