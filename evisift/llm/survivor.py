@@ -228,9 +228,14 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
 
 
 def _cut(words: str, references: set[str]) -> bool:
-    """Whether two or more words of a longer reference title are missing."""
+    """Whether the last word, or two or more, of a longer reference title are missing."""
     have, n = set(words.split()), words.count(" ")
-    return any(n < r.count(" ") and len(set(r.split()) - have) >= 2 and len(unmatched(r, words)[0]) >= 2 for r in references)
+    for r in references:
+        if n < r.count(" ") and not have.issuperset(r.split()):
+            missing = unmatched(r, words)[0]
+            if len(missing) >= 2 or missing and r.endswith(missing[-1]):
+                return True
+    return False
 
 
 def fused_records(records: DataFrame, trust: DataFrame) -> DataFrame:

@@ -128,21 +128,32 @@ def marking(words: list[str]) -> bool:
 
 
 # Signs of damage in a title.
-_CUT = re.compile(r"(?:…|\.{3}|\[…\]|\[\.\.\.\])\s*$|[\s:–-](?:a|an|and|the|of|in|on|with|for|from|by|to|or|among|versus|plus|at|after)\s*$", re.I)
+_DANGLING = frozenset("a an and the of in on with for from by to or among versus plus at after".split())
 _GARBLED = re.compile(r"�|â€|Ã.|Â|ï¬|&#\d+;|\?{2,}")
 _MARKUP = re.compile(r"<[^<>]{1,40}>|&(?:[a-z]{2,8}|#\d+|#x[0-9a-f]+);", re.I)
-_ANNOTATED = re.compile(r".\[[^\]]*\]\s*\.?\s*$|.\((?:article|abstract|author|in |english|german|french|spanish|full text|retracted|withdrawn)[^)]*\)\s*\.?\s*$|.(?:full text|abstract|pdf|available online|available) ?(?:available|only|online)?\.?\s*$", re.I)
+_NOTE = re.compile(r"\s\((?:article|abstract|author|in |english|german|french|spanish|full text|retracted|withdrawn)[^()]*\)$", re.I)
+_OFFERED = re.compile(r"\s(?:(?:full text|abstract|pdf)(?: (?:available|only|online))?|available online|available)$", re.I)
 
 
 def evident_damage(title: str | None) -> bool:
     """Whether a title shows by itself that it is cut, shouted, garbled, marked up or annotated; a blank one counts as damaged."""
-    if not title or not title.strip():
+    t = (title or "").strip()
+    if not t:
         return True
-    if title[:20].isupper() and len(title) > 8:
-        letters = [c for c in title if c.isalpha()]
+    if t[:20].isupper() and len(t) > 8:
+        letters = [c for c in t if c.isalpha()]
         if len(letters) > 8 and sum(map(str.isupper, letters)) > 0.7 * len(letters):
             return True
-    if ("&" in title or "<" in title) and _MARKUP.search(title) or (not title.isascii() or "&#" in title or "??" in title) and _GARBLED.search(title):
+    if ("&" in t or "<" in t) and _MARKUP.search(t) or (not t.isascii() or "&#" in t or "??" in t) and _GARBLED.search(t):
         return True
-    end = title[-40:]
-    return bool(_CUT.search(end) or _ANNOTATED.search(end if "[" in end or "(" in end else title[-160:]))
+    if t.endswith(("…", "...", ":", "–", " -")):
+        return True
+    t = t.rstrip(". ")
+    last = t[t.rfind(" ") + 1 :].lower()
+    if last in _DANGLING:
+        return " " in t
+    if last.endswith("]"):
+        return t.rfind("[") > 0
+    if last.endswith(")"):
+        return _NOTE.search(t) is not None
+    return last in ("text", "abstract", "pdf", "available", "only", "online") and _OFFERED.search(t) is not None
