@@ -54,7 +54,8 @@ def study_map(events: DataFrame, reports: DataFrame) -> DataFrame:
         out = replay(left, set(right["report"]))
         return pd.DataFrame([(r, s) for r, ss in out.items() for s in sorted(ss)], columns=["report", "study"])
 
-    done = ev.groupBy("cluster").cogroup(rep.where("cluster is not null").groupBy("cluster")).applyInPandas(run, "report string, study string")
+    left, right = ev.withColumnRenamed("cluster", "c_event"), rep.where("cluster is not null").withColumnRenamed("cluster", "c_report")
+    done = left.groupBy("c_event").cogroup(right.groupBy("c_report")).applyInPandas(run, "report string, study string")
     return done.unionByName(alone)
 
 

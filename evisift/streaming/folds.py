@@ -9,9 +9,14 @@ from evisift.plans.lineage import Workspace
 
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A folder of Parquet files, or a single one, as a stream."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        # a stream reads folders
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def latest_state(events: DataFrame, keys: list[str], value: list[str], order: list[str]) -> DataFrame:

@@ -80,3 +80,14 @@ def test_no_row_is_no_error(spark):
     assert screening.states(e, screening.assignment(e)).count() == 0
     assert linkage.cluster(spark.createDataFrame([], "a string, b string")).count() == 0
     assert e.agg(F.count("*")).first()[0] == 0
+
+
+def test_study_fold():
+    import pandas as pd
+
+    from evisift.operators.studies import replay
+
+    cols = ["ev", "id", "ts", "study", "reports", "report", "studies"]
+    rows = [("study-group", "1", 1, "std_a", ["rpt_a", "rpt_b", "rpt_x"], None, None), ("study-split", "2", 2, None, None, "rpt_c", ["std_c1", "std_c2"]), ("study-group", "3", 3, "std_c1", ["rpt_c", "rpt_d"], None, None), ("study-group", "4", 4, "std_a", ["rpt_a"], None, None)]
+    got = replay(pd.DataFrame(rows, columns=cols), {"rpt_a", "rpt_b", "rpt_c", "rpt_d"})
+    assert got == {"rpt_a": {"std_a"}, "rpt_b": {"std_b"}, "rpt_c": {"std_c1", "std_c2"}, "rpt_d": {"std_c1"}}
