@@ -210,7 +210,7 @@ ORACLE = {
     "effect_smd": _ARMS + f", g AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * sd1 * sd1 + (n2 - 1) * sd2 * sd2) / (n1 + n2 - 2)) * {_J.format('n1 + n2 - 2')} AS g FROM arms) SELECT study, outcome, " + _r(yi="g", vi="1.0 / n1 + 1.0 / n2 + g * g / (2 * (n1 + n2))") + " FROM g",
     "effect_logor": _CELLS + " SELECT study, outcome, " + _r(yi="yi", vi="vi") + " FROM e",
     "effect_logrr": _CELLS + " SELECT study, outcome, " + _r(yi="ln((a / (a + b)) / (c / (c + d)))", vi="1 / a - 1 / (a + b) + 1 / c - 1 / (c + d)") + " FROM h",
-    "effect_rd": _CELLS + " SELECT study, outcome, " + _r(yi="a / (a + b) - c / (c + d)", vi="a * b / pow(a + b, 3) + c * d / pow(c + d, 3)") + " FROM cells",
+    "effect_rd": _CELLS + " SELECT study, outcome, " + _r(yi="a / (a + b) - c / (c + d)", vi="(a / (a + b)) * (1 - a / (a + b)) / (a + b) + (c / (c + d)) * (1 - c / (c + d)) / (c + d)") + " FROM cells",
     "effect_zcor": f"WITH {_LINES}, c AS (SELECT study, outcome, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM l GROUP BY ALL HAVING n > 3) SELECT study, outcome, " + _r(yi="atanh(r)", vi="1.0 / (n - 3)") + " FROM c",
     "effect_plo": _PROP + ", z AS (SELECT *, CASE WHEN x = 0 OR x = n THEN 0.5 ELSE 0 END AS z FROM pr) SELECT study, outcome, " + _r(yi="ln((x + z) / (n - x + z))", vi="1 / (x + z) + 1 / (n - x + z)") + " FROM z",
     "effect_pft": _PROP + ", z AS (SELECT *, 0.5 * (asin(sqrt(x / (n + 1))) + asin(sqrt((x + 1) / (n + 1)))) AS t FROM pr) SELECT study, outcome, " + _r(yi="t", vi="1 / (4 * n + 2)", back=_BACK) + " FROM z",

@@ -7,11 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Effect = tuple[Column, Column]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hedges_j(df: pd.Series) -> pd.Series:
     """The exact small-sample factor; null for one degree of freedom or less."""
     return df.map(lambda m: math.exp(math.lgamma(m / 2) - math.lgamma((m - 1) / 2)) / math.sqrt(m / 2) if m is not None and m > 1 else None).astype("float64")

@@ -43,7 +43,7 @@ def test_endnote():
 def test_csv():
     good, bad = parsed("csv", CSV)
     assert good[0]["title"] == "A & B" and good[0]["page"] == "3-9" and len(good[0]["authors"]) == 2 and bad == ["no title"]
-    assert formats.profile(CSV.split("\n")[0].split(",")) == "scopus"
+    assert formats.profile([*CSV.split("\n")[0].split(","), "Author Keywords"]) == "scopus" and formats.profile(["Title"]) is None
 
 
 def test_citations():

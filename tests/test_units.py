@@ -38,7 +38,7 @@ def test_cases(spark, tables):
         (9, "n", 30.0, None, "n = 30", None, False, T0),  # a count
         (10, "follow_up", 1.0, "week", None, None, True, T0),  # not reported
         (11, "follow_up", None, None, "1.4e1 days", None, False, T0),
-        (12, "follow_up", None, None, "three weks", None, False, T0),  # a slip
+        (12, "follow_up", None, None, "three weeeks", None, False, T0),  # a slip
         (13, None, 1.0, "week", None, None, False, T0),
         (14, "follow_up", 2.0, None, "2 (units unclear)", "Table 1", False, T0),
         (None, "follow_up", 1.0, "week", None, None, False, T0),
