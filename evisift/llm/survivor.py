@@ -7,8 +7,8 @@ that a more accurate source probably lent are discounted; posteriors follow from
 which titles are whole (nothing of the fused title is missing) and which dates are plausible (its year agrees).
 Among those the survivor takes the title of the most trusted source and the most complete date; corrections in force go first.
 
-Distribution: claims are one row a group, with at most one claim a source database, in one written table; a round of the
-estimation is a map over them that returns sums per source and pair of sources. Sources are databases: the largest
+Distribution: claims are one row a group, with at most one claim a source database, in one written table; they are reduced to counts of
+patterns (who claims, which of them agree), on which the rounds of the estimation work; where patterns are too many, a round is a map over all claims that returns sums per source and pair of sources. Sources are databases: the largest
 ``SOURCES_MOST`` keep their identity and the rest count as one, so those sums are bounded; no record is left out. Choices are
 aggregates of smallest structs, with map-side combining, so a hot group costs no memory.
 """
@@ -29,6 +29,8 @@ from evisift.llm.titles import unmatched
 from evisift.plans.lineage import Workspace
 
 SOURCES_MOST = 200
+#: Most patterns of claims (who claims, which of them agree) that are held on the driver; beyond it each round is a map over all claims.
+PATTERNS_MOST = 200_000
 ROUNDS = 4
 COPY_RATE, COPY_PRIOR, FALSE_VALUES = 0.8, 0.1, 10
 #: Posterior from which a fused year overrules a date that is more than a year off.
@@ -72,34 +74,59 @@ def _pattern(claim: list[tuple[int, object]]) -> tuple[tuple[int, ...], tuple[in
     return tuple(s for s, _ in claim), tuple(number.setdefault(v, len(number)) for _, v in claim)
 
 
-def _sums(claims: DataFrame, model: Sources) -> tuple[np.ndarray, ...]:
+def _tally(seen: dict, model: Sources) -> np.ndarray:
+    """Claims and posteriors per source, and evidence per pair of sources (same and true, same and false, different), of counted patterns."""
     n = len(model.accuracy)
+    own, pair = np.zeros((2, n)), np.zeros((3, n, n))
+    for (who, what), times in seen.items():
+        p = model.posterior(list(zip(who, what)))
+        for k, (s, v) in enumerate(zip(who, what)):
+            own[0, s] += times
+            own[1, s] += times * p[v]
+            for t, w in zip(who[:k], what[:k]):
+                if v == w:
+                    pair[0, s, t] += times * p[v]
+                    pair[1, s, t] += times * (1 - p[v])
+                else:
+                    pair[2, s, t] += times
+    return np.concatenate([own.ravel(), pair.ravel()])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Counter:
+    seen: Counter = Counter()
+    for b in batches:
+        for claim in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
+            seen.update(map(_pattern, _fields(*claim)))
+    return seen
+
+
+def _patterns(claims: DataFrame) -> dict | None:
+    """How often each pattern of claims occurs, or None if there are more than ``PATTERNS_MOST``. Posteriors depend on nothing else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for claim in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
-                seen.update(map(_pattern, _fields(*claim)))
-        own, pair = np.zeros((2, n)), np.zeros((3, n, n))
-        for (who, what), times in seen.items():
-            p = model.posterior(list(zip(who, what)))
-            for k, (s, v) in enumerate(zip(who, what)):
-                own[0, s] += times
-                own[1, s] += times * p[v]
-                for t, w in zip(who[:k], what[:k]):
-                    if v == w:
-                        pair[0, s, t] += times * p[v]
-                        pair[1, s, t] += times * (1 - p[v])
-                    else:
-                        pair[2, s, t] += times
-        flat = np.concatenate([own.ravel(), pair.ravel()])
+        seen = _counted(batches)
+        names = ["|".join(",".join(map(str, side)) for side in p) for p in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["p", "n"])
+
+    got = claims.select("who", "title", "year").mapInArrow(run, "p string, n bigint").groupBy("p").agg(F.sum("n").alias("n")).limit(PATTERNS_MOST + 1).collect()
+    if len(got) > PATTERNS_MOST:
+        return None
+    return {tuple(tuple(map(int, side.split(","))) for side in r["p"].split("|")): r["n"] for r in sorted(got)}
+
+
+def _sums(claims: DataFrame, model: Sources) -> np.ndarray:
+    """The same sums by a map over all claims, where patterns are too many to be held together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = _tally(_counted(batches), model)
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
 
     got = claims.select("who", "title", "year").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    n = len(model.accuracy)
     flat = np.zeros(2 * n + 3 * n * n)
     flat[got["at"].to_numpy()] = got["x"].to_numpy()
-    return flat[: 2 * n].reshape(2, n), flat[2 * n :].reshape(3, n, n)
+    return flat
 
 
 def _fields(who: list[int], title: list[str | None], year: list[int | None]) -> list[list[tuple[int, object]]]:
@@ -110,9 +137,11 @@ def _fields(who: list[int], title: list[str | None], year: list[int | None]) ->
 
 def fuse(claims: DataFrame, names: list[str], rounds: int = ROUNDS) -> Sources:
     """Accuracies and copying from ``claims`` (rows of :func:`claim_rows`)."""
-    model = Sources(names)
+    model, patterns = Sources(names), _patterns(claims)
+    n = len(model.accuracy)
     for _ in range(rounds):
-        own, pair = _sums(claims, model)
+        flat = _sums(claims, model) if patterns is None else _tally(patterns, model)
+        own, pair = flat[: 2 * n].reshape(2, n), flat[2 * n :].reshape(3, n, n)
         pair = pair + pair.transpose(0, 2, 1)
         model.accuracy = np.clip((own[1] + 1.6) / (own[0] + 2), 0.05, 0.99)
         a, b = model.accuracy[:, None], model.accuracy[None, :]

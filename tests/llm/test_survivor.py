@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 
+from evisift.llm import survivor
 from evisift.llm.survivor import Sources, fuse, survivors
 from tests.llm.test_neardup import BASE, SCHEMA, record
 
@@ -44,7 +45,7 @@ def test_empty(spark):
     assert run(spark, []) == {} and run(spark, [record("a", BASE), record("a", BASE)]) == {}
 
 
-def test_copied_votes_count_less(spark):
+def test_copied_votes_count_less(spark, monkeypatch):
     """Two sources share one source's slips; the pair is found dependent and its votes are discounted."""
     rng = np.random.default_rng(5)
     rows = []
@@ -55,6 +56,9 @@ def test_copied_votes_count_less(spark):
     claims = spark.createDataFrame(rows, "group bigint, who array<int>, title array<string>, year array<int>")
     m = fuse(claims, ["p", "q", "r", "s", "x", "copy"], rounds=4)
     assert m.copies[4, 5] > 0.9 > 0.5 > m.copies[:4, :4].max() and m.accuracy[:4].min() > m.accuracy[4]
+    monkeypatch.setattr(survivor, "PATTERNS_MOST", 3)
+    other = fuse(claims, ["p", "q", "r", "s", "x", "copy"], rounds=4)
+    assert np.allclose(other.accuracy, m.accuracy) and np.allclose(other.copies, m.copies)
     p = m.posterior([(0, "t"), (4, "f1"), (5, "f1")])
     assert max(p, key=p.get) == "t"
 
