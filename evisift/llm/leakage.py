@@ -6,8 +6,9 @@ bucket of the block holds the patterns to compare. Found runs are the candidates
 taken over if it can be laid over the document so that its telling words agree: words weigh by their rarity in the corpus,
 as texts of one kind share phrases, and a sentence all of whose runs are common in the corpus is a stock sentence.
 
-Distribution: two maps over the corpus. The first counts, for the words and runs of the items, the documents
-that hold them (partial sums per task, one number a pattern); the second searches. The items travel with the tasks, in blocks of at most ``BLOCK_WORDS`` words,
+Distribution: maps over the corpus. The first counts, for the words and runs of the items, the distinct texts
+that hold them (patterns of a text meet by its hash, then partial sums per task, one number a pattern); for runs of many texts another one counts
+the distinct surroundings they stand in; the last one searches. The items travel with the tasks, in blocks of at most ``BLOCK_WORDS`` words,
 so their size is bounded; each block is another pass. No pair of documents is formed.
 """
 
@@ -23,6 +24,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ BLOCK_WORDS = 2_000_000
 WORDS = 24
 #: Words found in place that are enough, as up to a tenth may be changed.
 FOUND = 22
-#: A run is rare if at most this share of documents (and at least so many documents) hold it.
+#: A run is rare if at most this share of distinct texts (and at least so many) hold it, or if it stands in at most so many different surroundings:
+#: copies of a document count once, and a passage that was copied into many documents brings the sentences around it along, which a stock sentence does not.
 RARE_SHARE, RARE_LEAST = 0.002, 4
+#: Words looked at on each side of a sentence.
+AROUND = 3
 #: Least share of the weight of a sentence's words that must agree where it lies over the document.
 AGREE = 0.82
 #: Least share of each sentence of those that stand one behind the other, and their least average, for three or more and for two.
@@ -96,8 +101,11 @@ class Patterns:
 
     def numbers(self, text: str | None) -> list[int]:
         """Word numbers of a document; words that no item has share one number."""
+        return self.numbered(words_of(text))
+
+    def numbered(self, words: list[str]) -> list[int]:
         get, other = self.vocabulary.get, len(self.vocabulary)
-        return [get(w, other) for w in words_of(text)]
+        return [get(w, other) for w in words]
 
     def search(self, w: list[int]) -> list[tuple[int, int]]:
         """(position, run) of every run of the items in the document."""
@@ -116,28 +124,81 @@ class Patterns:
         return out
 
 
+def _most_rare(n: int) -> float:
+    """Most texts, of ``n``, or surroundings of a rare run."""
+    return max(RARE_LEAST, RARE_SHARE * n)
+
+
+def _hash(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+
+
 def corpus_counts(docs: DataFrame, patterns: Patterns, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Numbers of documents: with words, with each item word, with each item run."""
+    """Numbers of distinct texts: with words, with each item word, with each item run; of a run in many texts the number of surroundings if that is less."""
+    size = 1 + patterns.size + patterns.n_runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, words, runs = 0, np.zeros(patterns.size, np.int64), np.zeros(patterns.n_runs, np.int64)
+        # a task sends a text once, so a group of copies, however large, sends few rows to its bucket
+        seen: set[int] = set()
         for batch in batches:
+            key, at = [], []
             for t in batch.column(0).to_pylist():
-                w = patterns.numbers(t)
-                if w:
-                    n += 1
-                    words[list(set(w))] += 1
-                    hits = {r for _, r in patterns.search(w)}
-                    if hits:
-                        runs[list(hits)] += 1
-        all_ = np.concatenate(([n], words, runs))
+                words = words_of(t)
+                if not words or (h := _hash(words)) in seen:
+                    continue
+                seen.add(h)
+                w = patterns.numbered(words)
+                key.append(h)
+                at.append([0, *(1 + x for x in set(w)), *{1 + patterns.size + r for _, r in patterns.search(w)}])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["key", "at"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        all_ = np.zeros(size, np.int64)
+        for batch in batches:
+            for h, at in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if h not in seen:
+                    seen.add(h)
+                    all_[at.values.to_numpy()] += 1
         at = np.flatnonzero(all_)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(all_[at])], names=["at", "n"])
 
-    got = docs.select(text).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    all_ = np.zeros(1 + patterns.size + patterns.n_runs, np.int64)
+    texts = docs.select(text).mapInArrow(run, "key bigint, at array<int>").repartition("key")
+    got = texts.mapInArrow(once, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    all_ = np.zeros(size, np.int64)
     all_[got["at"].to_numpy()] = got["n"].to_numpy()
-    return int(all_[0]), all_[1 : 1 + patterns.size], all_[1 + patterns.size :]
+    n, words, runs = int(all_[0]), all_[1 : 1 + patterns.size], all_[1 + patterns.size :]
+    often = np.flatnonzero(runs > _most_rare(n))
+    if len(often):
+        around = surroundings(docs, patterns, text, set(often.tolist()))
+        runs[often] = np.minimum(runs[often], around[often])
+    return n, words, runs
+
+
+def surroundings(docs: DataFrame, patterns: Patterns, text: str, runs: set[int]) -> np.ndarray:
+    """For each of ``runs``, the number of different words around the sentence it belongs to, as this lies in the documents.
+
+    Where a document begins or ends with the sentence, the document's text stands for what is around it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for t in batch.column(0).to_pylist():
+                words = words_of(t)
+                hits = [x for x in patterns.search(patterns.numbered(words)) if x[1] in runs]
+                whole = [str(_hash(words))] if hits else []
+                for at, r in hits:
+                    for k, q in patterns.where[r]:
+                        lo, hi = at - q, at - q + len(patterns.sentences[k][1])
+                        before = words[max(0, lo - AROUND) : lo] if lo > 0 else whole
+                        found.add((r, _hash([*before, "|", *(words[hi : hi + AROUND] or whole)])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64())], names=["run", "place"])
+
+    got = docs.select(text).mapInArrow(run, "run int, place bigint").distinct().groupBy("run").count().toPandas()
+    out = np.zeros(patterns.n_runs, np.int64)
+    out[got["run"].to_numpy()] = got["count"].to_numpy()
+    return out
 
 
 class Judge:
@@ -146,7 +207,7 @@ class Judge:
     def __init__(self, patterns: Patterns, n: int, words: np.ndarray, runs: np.ndarray):
         self.p = patterns
         self.weight = np.log((n + 1) / (words + 0.5)).clip(0.05).tolist()
-        self.rare = (runs <= max(RARE_LEAST, RARE_SHARE * n)).tolist()
+        self.rare = (runs <= _most_rare(n)).tolist()
 
     def laid_over(self, sentence: list[int], w: list[int], at: int) -> tuple[int, float, int, int]:
         """The sentence over the document around ``at``: words found in order, the share of weight that agrees between the

@@ -51,6 +51,16 @@ def test_blocks_of_items(spark, monkeypatch):
     assert run(spark, docs, items) == whole == {(100 + n, f"i{n}") for n in range(6)}
 
 
+def test_leak_in_a_third_of_the_rows(spark):
+    rnd, stock, items, fill = setting()
+    long = [(f"j{n}", " ".join(sentence(rnd) for _ in range(5))) for n in range(2)]
+    copied = fill[0] + " " + items[0][1] + " " + fill[1]
+    # copies of one document, and a passage in documents of their own
+    docs = list(enumerate(fill)) + [(100 + n, copied.upper() if n % 2 else copied) for n in range(30)] + [(200 + n, f"{sentence(rnd)} {long[0][1]} {sentence(rnd)}") for n in range(30)]
+    want = {(100 + n, "i0") for n in range(30)} | {(200 + n, "j0") for n in range(30)}
+    assert run(spark, docs, items + long) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.lists(st.integers(0, 4), min_size=5, max_size=12), max_size=4))
 def test_search_like_brute_force(doc, items):
