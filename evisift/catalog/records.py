@@ -161,7 +161,7 @@ def dedup_metrics(spark, d):
 def dedup_greedy(spark, d):
     k = _keyed(spark, d)
     pairs = linkage.candidate_pairs(linkage.block_keys(k))
-    return linkage.greedy(k, pairs, linkage.cluster(pairs))
+    return linkage.greedy(k, pairs)
 
 
 def minhash_candidates(spark, d):

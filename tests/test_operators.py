@@ -62,6 +62,24 @@ def test_cluster(spark):
     assert dict(tuple(r) for r in linkage.cluster(links).collect()) == {"a": "a", "b": "a", "c": "a", "z": "a", "d": "d", "e": "d"}
 
 
+def test_greedy_merges_every_component(spark):
+    # one block of more than BLOCK_MOST records: a chain of pairs that are the same, and pairs that are not
+    n = linkage.BLOCK_MOST + 10
+    rows = [(f"r{x:05d}", f"t{x // 3}", ["doe", "roe"], 2010, "j", "1", str(x // 3), None, None, False, x % 2) for x in range(n)]
+    k = spark.createDataFrame(rows, "id string, title string, authors array<string>, year int, journal string, volume string, page string, doi string, pmid string, best_effort boolean, complete int")
+    pairs = spark.createDataFrame([(rows[x][0], rows[y][0]) for x in range(n) for y in (x + 1, x + 2) if y < n], "a string, b string")
+    gone, want = set(), set()
+    for x in range(n):
+        for y in (x + 1, x + 2):
+            if y < n and x // 3 == y // 3 and not {x, y} & gone:
+                keep, drop = (x, y) if (-(x % 2), x) <= (-(y % 2), y) else (y, x)
+                gone.add(drop)
+                want.add((rows[keep][0], rows[drop][0]))
+    whole = {(r["canonical"], r["absorbed"]) for r in linkage.greedy(k, pairs, spark.createDataFrame([(r[0], "r00000") for r in rows], "id string, cluster string")).collect()}
+    assert whole == want and len(want) > 1000
+    assert {(r["canonical"], r["absorbed"]) for r in linkage.greedy(k, pairs).collect()} == want
+
+
 def test_metrics(spark):
     f = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
     t = spark.createDataFrame([("a", "b"), ("d", "e")], "a string, b string")
