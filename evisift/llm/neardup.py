@@ -1,8 +1,8 @@
 """Problem 1: records of one publication whose titles differ by small edits.
 
 Titles become SetSketch registers of their character grams. Register values are banded;
-a band counts together with a locator that edits of a title do not touch (two of page, volume,
-issue and first author). Titles here are made of stock phrases, so bands of the title alone would put
+a band counts together with a locator that edits of a title do not touch (first author, or two of page, volume
+and issue, or volume and journal). Titles here are made of stock phrases, so bands of the title alone would put
 a growing share of all records into one bucket; with a locator the buckets stay small. A DOI is a set of one
 element, whose registers are equal exactly if it is: one more band, in which each row meets the first one with the
 same DOI, as being the same is transitive. Pairs that share a band are estimated jointly by likelihood, then
@@ -32,8 +32,9 @@ from evisift.plans.lineage import Workspace
 EARLIEST, LATEST = 1450, 2035
 #: Least estimated share of the smaller title found in the larger one: with the same page, and without.
 CONTAINED_SAME_PAGE, CONTAINED = 0.25, 0.6
-#: Locators (page, volume, issue, author) and the registers banded with each.
-LOCATORS = [("pv", 2), ("pa", 2), ("va", 2), ("ia", 1), ("pi", 1), ("vi", 1)]
+#: Locators (page, volume, issue, author; journal, which may be missing), the number of bands with each and of registers in a band. First author and title
+#: alone find records without page, volume and issue; the year is left to the join, as it may be one off or missing.
+LOCATORS = [("pvj", 2, 1), ("a", 5, 1), ("pij", 1, 1), ("vij", 1, 1), ("vj", 2, 2)]
 #: Fields that travel with a key: lowest bit and number of bits.
 KNOWN = [("page", 0, 20), ("volume", 20, 12), ("issue", 32, 12), ("year", 44, 12)]
 
@@ -64,13 +65,18 @@ def _band_keys(registers: np.ndarray, size: np.ndarray, fields: dict[str, np.nda
     here = {f: fields[f] != (0 if f == "a" else -1) for f in "pvia"}
     word = {f: mix(fields[f].astype(np.int64).view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) for k, f in enumerate("pviaj", 1)}
     keys, rows, r = [], [], 0
-    for (x, y), n in LOCATORS:
-        place = mix(word[x] ^ (word[y] * np.uint64(3)) ^ (word["j"] if "a" not in (x, y) or "i" in (x, y) else np.uint64(0)))
-        at = np.flatnonzero(here[x] & here[y] & (size > 0))
+    for locator, n, wide in LOCATORS:
+        place = np.zeros(len(size), np.uint64)
+        for k, f in enumerate(locator, 1):
+            place = mix(place ^ (word[f] * np.uint64(2 * k + 1)))
+        at = np.flatnonzero(np.logical_and.reduce([here[f] for f in locator if f != "j"]) & (size > 0))
         for _ in range(n):
-            keys.append(mix(place[at] + registers[at, r].astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(r)).view(np.int64))
+            key = place[at]
+            for _ in range(wide):
+                key = mix(key + registers[at, r].astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(r))
+                r += 1
+            keys.append(key.view(np.int64))
             rows.append(at)
-            r += 1
     return np.concatenate(rows), np.concatenate(keys)
 
 

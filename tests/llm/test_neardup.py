@@ -40,6 +40,16 @@ def test_different_publications(spark, other):
     assert pairs(spark, [record("a", f"{BASE}" if "part" not in (other[1] or "") else f"{BASE} (Part I)", doi="10.1234/own"), other]) == set()
 
 
+def test_records_without_locators(spark):
+    bare = {"volume": None, "issue": None, "page": None}
+    rows = [record("a", BASE, doi="10.1234/own"), record("b", BASE, **bare), record("c", BASE.replace("light boxes", "light boxs"), date=(2011,), **bare), record("z", BASE.replace("migraine", "asthma"), authors=("Other",), **bare)]
+    assert pairs(spark, rows) == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_same_volume_without_authors(spark):
+    assert pairs(spark, [record("a", BASE), record("b", BASE, authors=None, issue=None, page=None)]) == {("a", "b")}
+
+
 def test_doi_binds_records_without_title(spark):
     assert pairs(spark, [record("a", None, doi="10.1234/X.", page=None), record("b", BASE, doi="https://doi.org/10.1234/x", page=None)]) == {("a", "b")}
 
