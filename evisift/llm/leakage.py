@@ -239,19 +239,28 @@ class Judge:
         items = {p.sentences[k][0] for _, r in hits if self.rare[r] for k, _ in p.where[r]}
         if not items:
             return []
-        starts: dict[int, Counter] = defaultdict(Counter)
-        rare: Counter = Counter()
+        starts: dict[int, set[int]] = defaultdict(set)
+        rare: dict[int, list[int]] = defaultdict(list)
         for at, r in hits:
             for k, q in p.where[r]:
                 if p.sentences[k][0] in items:
-                    starts[k][at - q] += 1
-                    rare[k] += self.rare[r]
-        taken, parts = Counter(), {}
+                    starts[k].add(at - q)
+                    if self.rare[r]:
+                        rare[k].append(at)
+        parts, agree = {}, []
         for k, ats in starts.items():
-            item, sentence = p.sentences[k]
-            parts[k] = max(self.laid_over(sentence, w, at) for at, _ in ats.most_common(3))
-            if rare[k] and parts[k][1] >= AGREE:
-                taken[item] += parts[k][0]
+            places = [self.laid_over(p.sentences[k][1], w, at) for at in ats]
+            parts[k] = max(places)
+            # the place with most words may agree less than another one; a place counts by itself if a rare run lies in it
+            agree += [(x[0], k, x[2], x[3]) for x in set(places) if x[1] >= AGREE and any(x[2] <= at <= x[3] - RUN for at in rare[k])]
+        # words of each sentence that are taken over; a part of the document counts for one sentence of an item only
+        got: dict[int, int] = {}
+        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for n, k, lo, hi in sorted(agree, reverse=True):
+            used = spans[p.sentences[k][0]]
+            if k not in got and all(2 * (min(hi, y) - max(lo, x)) <= hi - lo for x, y in used):
+                got[k] = n
+                used.append((lo, hi))
         # neighbours that stand one behind the other in the document as in the item were copied together, even if much edited
         # or, as a cut first or last part, without a telling word
         for k in sorted(parts):
@@ -263,7 +272,12 @@ class Judge:
             if len(chain) > 1 and any(rare[c] for c in chain):
                 if sum(parts[c][1] for c in chain) >= (EDITED if len(chain) > 2 else EDITED_TWO) * len(chain):
                     # stock sentences at full length do not count in a chain either
-                    taken[p.sentences[k][0]] += sum(parts[c][0] for c in chain if not (rare[c] and parts[c][1] >= AGREE) and (rare[c] or parts[c][0] < len(p.sentences[c][1])))
+                    for c in chain:
+                        if rare[c] or parts[c][0] < len(p.sentences[c][1]):
+                            got[c] = max(got.get(c, 0), parts[c][0])
+        taken: Counter = Counter()
+        for k, n in got.items():
+            taken[p.sentences[k][0]] += n
         return [(p.items[i], n) for i, n in taken.items() if n >= FOUND]
 
 

@@ -61,6 +61,18 @@ def test_leak_in_a_third_of_the_rows(spark):
     assert run(spark, docs, items + long) == want
 
 
+def test_true_copy_behind_repeated_parts(spark):
+    rnd, stock, items, fill = setting()
+    w = sentence(rnd, 40).rstrip(".").split()
+    # a part of the sentence stands four times, more often than any run of the edited copy behind it, whose words shift
+    part, copy = " ".join(w[:12]), []
+    for n, x in enumerate(w):
+        copy += [x, "quux"] if n % 8 == 7 else [x]
+    doc = f" {sentence(rnd, 30)} ".join([part] * 4) + f" {sentence(rnd, 30)} " + " ".join(copy)
+    docs = [*enumerate(fill), (100, doc)]
+    assert run(spark, docs, [*items, ("k0", " ".join(w) + ".")]) == {(100, "k0")}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=60), st.lists(st.lists(st.integers(0, 4), min_size=5, max_size=12), max_size=4))
 def test_search_like_brute_force(doc, items):
