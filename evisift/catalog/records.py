@@ -275,12 +275,22 @@ def verify_records(spark, d):
 
 
 def characteristics(spark, d):
-    """Study by field: values of the coding form side by side."""
+    """Study by field: how many values four fields of the coding form have; :func:`characteristics_values` shows the values of all fields."""
     e = table(spark, d, "extraction_values").dropDuplicates(["value_id"])
     fields = [f"{x}" for x in ("follow_up", "sample_size", "mean_age", "daily_dose")]
     return e.groupBy("study").pivot("field", fields).agg(F.count("value")).na.fill(0)
 
 
+def characteristics_values(spark, d):
+    """Study by field: the values of the coding form side by side, for each field of the form all entries in order of value_id, and how many of them have a value."""
+    e = table(spark, d, "extraction_values").dropDuplicates(["value_id"])
+    # the form has a fixed list of fields
+    fields = [r["field"] for r in table(spark, d, "form_fields").select("field").where("field is not null").distinct().orderBy("field").collect()]
+    entry = F.struct("value_id", "value", "unit", "entered", "not_reported")
+    aggs = [x for f in fields for x in (F.sort_array(F.collect_list(F.when(F.col("field") == f, entry))).alias(f), F.count(F.when(F.col("field") == f, F.col("value"))).alias(f"{f}_n"))]
+    return e.groupBy("study").agg(*aggs)
+
+
 def completeness(spark, d):
     """Required fields of the form that a study has no entry for."""
     e = table(spark, d, "extraction_values")
@@ -303,7 +313,7 @@ QUERIES = {
         normalise_doi, normalise_title, normalise_author, normalise_numbers, normalise_journal, canonical_key, record_id, citation_label, study_text_facts, digests,
         block_keys, oversize_block_split, block_candidates, pair_scores, dedup_classes, dedup_strict, dedup_clusters, dedup_survivors, dedup_metrics, dedup_greedy, minhash_candidates,
         alias_resolve, amendment_fold, merged_keywords, record_origin, funnel_counts, funnel_identities, exclusion_reasons_topk, retrieval_counts, source_counts,
-        citation_keys, three_way_merge, verify_records, characteristics, completeness, reviewer_comparison,
+        citation_keys, three_way_merge, verify_records, characteristics, characteristics_values, completeness, reviewer_comparison,
     )
 } | {name: _filtered(expression) for name, (expression, _) in FILTERS.items()}
 

@@ -80,6 +80,17 @@ def test_greedy_merges_every_component(spark):
     assert {(r["canonical"], r["absorbed"]) for r in linkage.greedy(k, pairs).collect()} == want
 
 
+def test_characteristics_show_every_field(spark):
+    from evisift.catalog.records import QUERIES
+    from tests.conftest import data
+
+    form = {r["field"] for r in spark.read.parquet(f"{data()}/form_fields.parquet").collect()}
+    want = {(r["study"], r["field"], r["value_id"], r["value"]) for r in spark.read.parquet(f"{data()}/extraction_values.parquet").collect() if r["field"] in form}
+    rows = QUERIES["characteristics_values"](spark, data()).collect()
+    assert {(r["study"], f, x["value_id"], x["value"]) for r in rows for f in form for x in r[f]} == want and len({x[1] for x in want}) == 11
+    assert all(r[f"{f}_n"] == sum(x["value"] is not None for x in r[f]) for r in rows for f in form)
+
+
 def test_metrics(spark):
     f = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
     t = spark.createDataFrame([("a", "b"), ("d", "e")], "a string, b string")
