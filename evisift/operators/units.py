@@ -95,8 +95,8 @@ def alias_dictionary(spellings: DataFrame, registry: DataFrame) -> DataFrame:
         return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (NGRAM - 1)), lambda i: F.substring(padded, i, F.lit(NGRAM)))))
 
     index = names.where(F.length("alias") >= LENGTH - 1).select("alias", "unit", grams("alias").alias("gram"))
-    met = rest.select("spelling", grams("spelling").alias("gram")).join(index, "gram").groupBy("spelling", "alias", "unit").agg(F.count(F.lit(1)).alias("shared"))
-    met = met.where(F.col("shared") * 3 >= F.least(F.length("spelling"), F.length("alias")))
+    # one shared gram is enough: swapped letters leave a short name no more than one
+    met = rest.select("spelling", grams("spelling").alias("gram")).join(index, "gram").select("spelling", "alias", "unit").distinct()
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -68,3 +68,12 @@ def test_dictionary_leaves_strangers_out(spark, tables):
 def test_distance(a, b):
     d = weighted_distance(a, b)
     assert d >= 0 and weighted_distance(a, a) == 0 and (d > 0) == (a != b) and d <= max(len(a), len(b))
+
+
+def test_swapped_letters_in_short_names(spark):
+    from tests.conftest import data
+
+    registry = spark.read.parquet(f"{data()}/unit_registry.parquet")
+    said = spark.createDataFrame([(x,) for x in ("years", "yaers", "hours", "horus")], "spelling string")
+    got = {r["spelling"]: r["unit"] for r in alias_dictionary(said, registry).collect()}
+    assert len(got) == 4 and got["yaers"] == got["years"] and got["horus"] == got["hours"]
