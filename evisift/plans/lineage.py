@@ -9,17 +9,19 @@ Where the setting is unset (tests, local runs) a folder of our own is used.
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Whether shuffle files are removed when the query that wrote them has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,7 +67,8 @@ class Workspace:
         """Write ``df`` and return a DataFrame that reads the written table."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self.tidy():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._evisift_path = path  # type: ignore[attr-defined]
         return out
@@ -76,15 +79,15 @@ class Workspace:
             if path:
                 _remove(self.spark, path)
 
-    def release(self) -> None:
-        """Let Spark remove shuffle files of plans that nothing refers to any more.
-
-        Python's references to objects of the JVM are given up by a thread of their own, files are removed by another.
-        """
-        gc.collect()
-        time.sleep(0.6)
-        self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    @contextmanager
+    def tidy(self) -> Iterator[None]:
+        """Queries begun in here leave no shuffle files behind once they have ended."""
+        before = self.spark.conf.get(_TIDY, None)
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_TIDY, before) if before is not None else self.spark.conf.unset(_TIDY)
 
     def _close(self) -> None:
         try:
