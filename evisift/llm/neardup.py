@@ -1,16 +1,14 @@
 """Problem 1: records of one publication whose titles differ by small edits.
 
-Titles become SetSketch registers of their character grams. Register values are banded;
-a band counts together with a locator that edits of a title do not touch (first author, or two of page, volume
-and issue, or volume and journal). Titles here are made of stock phrases, so bands of the title alone would put
-a growing share of all records into one bucket; with a locator the buckets stay small. A DOI is a set of one
-element, whose registers are equal exactly if it is: one more band, in which each row meets the first one with the
-same DOI, as being the same is transitive. Pairs that share a band are estimated jointly by likelihood, then
-verified against the texts and the other fields. Verified links are closed by the component operator.
-
-Distribution: one map over the records, written once; bands are exploded as pairs of 8-byte values and joined
-with themselves, so a hot bucket is an equi-join whose skew AQE splits; candidates are distinct row-number pairs
-before text is joined to them. Nothing is collected or broadcast.
+Titles become SetSketch registers of their character grams, and register values are banded. A band of eight registers stands alone and finds
+what is nearly equal; bands of fewer registers together with a locator that edits of a title do not touch (first author; page and journal; page and volume;
+volume and journal) find what was cut or reworded, and keep titles made of the same stock phrases apart. Pairs that share a band are estimated
+jointly by likelihood; what the estimate lets through is verified word for word and by the other fields; links are closed by the component
+operator. Rows with one DOI, one id or equal fields meet the first such row besides, which adds those that have no title to sketch.
+
+Distribution: one map over the records, written once; band keys are rows of three 8-byte values, joined with themselves on the key. Of rows equal in
+all compared fields one a task is enough (see :func:`candidates`). Keys under which very many rows stand are found in a sample of the rows
+and split by the fields that a pair must share to be accepted, so that no bucket is paired as a whole. Text is joined to distinct candidates only. Collected are the hot keys only, which are few by counting.
 """
 
 from __future__ import annotations
@@ -32,11 +30,14 @@ from evisift.plans.lineage import Workspace
 EARLIEST, LATEST = 1450, 2035
 #: Least estimated share of the smaller title found in the larger one: with the same page, and without.
 CONTAINED_SAME_PAGE, CONTAINED = 0.25, 0.6
-#: Locators (page, volume, issue, author; journal, which may be missing), the number of bands with each and of registers in a band. First author and title
-#: alone find records without page, volume and issue; the year is left to the join, as it may be one off or missing.
-LOCATORS = [("pvj", 2, 1), ("a", 5, 1), ("pij", 1, 1), ("vij", 1, 1), ("vj", 2, 2)]
+#: Locators (a: first author, p: page, v: volume, j: journal, which may be missing; none: the title alone), the number of bands with each and of registers in a band.
+LOCATORS = [("", 1, 8), ("a", 3, 2), ("pj", 1, 1), ("pv", 3, 1), ("vj", 2, 2)]
+#: Distinct grams from which a title says enough to stand alone; standing headings are shorter.
+LONG_TITLE = 40
 #: Fields that travel with a key: lowest bit and number of bits.
-KNOWN = [("page", 0, 20), ("volume", 20, 12), ("issue", 32, 12), ("year", 44, 12)]
+KNOWN = [("page", 0, 20), ("volume", 20, 12), ("issue", 32, 12), ("year", 44, 12), ("doi", 56, 7)]
+#: A key is hot beyond so many rows, or a ten-thousandth of all rows if that is more; looked for in one of ``SAMPLE`` rows.
+HOT_BUCKET, SAMPLE = 4_096, 32
 
 PREPARED = "rid bigint, id string, words string, families string, journal string, page int, volume int, issue int, year int, doi bigint, size int, registers binary, first bigint, content bigint"
 #: What choosing a survivor needs of a record, beside; see survivor.
@@ -61,15 +62,16 @@ def _hash(text: str) -> int:
 
 
 def _band_keys(registers: np.ndarray, size: np.ndarray, fields: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and their band keys; fields: p, v, i (-1 for none), a (0 for none) and j (journal, no locator of its own)."""
-    here = {f: fields[f] != (0 if f == "a" else -1) for f in "pvia"}
-    word = {f: mix(fields[f].astype(np.int64).view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) for k, f in enumerate("pviaj", 1)}
+    """Rows and their band keys; fields: p, v (-1 for none), a (0 for none) and j (journal, no locator of its own)."""
+    here = {f: fields[f] != (0 if f == "a" else -1) for f in "pva"}
+    word = {f: mix(fields[f].astype(np.int64).view(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) for k, f in enumerate("pvaj", 1)}
     keys, rows, r = [], [], 0
     for locator, n, wide in LOCATORS:
-        place = np.zeros(len(size), np.uint64)
+        place = np.full(len(size), len(locator), np.uint64)
         for k, f in enumerate(locator, 1):
             place = mix(place ^ (word[f] * np.uint64(2 * k + 1)))
-        at = np.flatnonzero(np.logical_and.reduce([here[f] for f in locator if f != "j"]) & (size > 0))
+        usable = np.logical_and.reduce([size > 0, *(here[f] for f in locator if f != "j")]) if locator else size >= LONG_TITLE
+        at = np.flatnonzero(usable)
         for _ in range(n):
             key = place[at]
             for _ in range(wide):
@@ -80,6 +82,23 @@ def _band_keys(registers: np.ndarray, size: np.ndarray, fields: dict[str, np.nda
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _split_hot(row: np.ndarray, key: np.ndarray, hot: np.ndarray, n: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys with each hot key replaced by keys with one more field: page, volume, issue, year (also as the year after the one before).
+
+    A pair that is accepted (see :func:`_one_publication`) shares one of them, so none is lost.
+    """
+    at = np.isin(key, hot)
+    rows, keys = [row[~at]], [key[~at]]
+    part, base = row[at], key[at].view(np.uint64)
+    for k, (f, more) in enumerate((("page", 0), ("volume", 0), ("issue", 0), ("year", 0), ("year", 1)), 1):
+        value = n[f][part].astype(np.int64)
+        known = value >= 0
+        tag = 4 if f == "year" else k
+        keys.append(mix(base[known] ^ mix((value[known] + more).view(np.uint64) * np.uint64(8) + np.uint64(tag))).view(np.int64))
+        rows.append(part[known])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _registers(column: pa.Array) -> np.ndarray:
     """Registers as a matrix; the values have one length, so their bytes lie one behind the other."""
     if isinstance(column, pa.ChunkedArray):
@@ -135,18 +154,25 @@ def prepare(records: DataFrame, survivor: bool = False) -> DataFrame:
 
 
 def first_of_same(prepared: DataFrame, rows: int) -> DataFrame:
-    """(a, b): every row with the first one that has its DOI, and with the first one that equals it in all compared fields."""
-    keys = prepared.select("rid", F.explode(F.array("doi", "content")).alias("key")).where("key <> 0")
+    """(a, b): every row with the first one that has its DOI, its id, or equals it in all compared fields."""
+    keys = prepared.select("rid", F.explode(F.array("doi", "content", F.xxhash64("id"))).alias("key")).where("key <> 0")
     first = keys.groupBy("key").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return join_one(keys, first, "key", "n", HOT_LEAST, 2 * rows).where("rid > a").select("a", F.col("rid").alias("b"))
+    return join_one(keys, first, "key", "n", HOT_LEAST, 3 * rows).where("rid > a").select("a", F.col("rid").alias("b")).distinct()
 
 
-def candidates(prepared: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of row numbers that share a band key and do not both have a DOI.
+#: Whether a row has fields enough that :func:`_one_publication` could accept it with anything; what it accepts with another row it accepts with a copy of itself.
+TAKES_PART = f"""size > 0 and (page >= 0 and (families <> '' or volume >= 0 or issue >= 0) or families <> '' and (volume >= 0 or issue >= 0 or year > 0)
+    or volume >= 0 and (issue >= 0 or year > 0) or year > 0 and journal <> '' and size >= {LONG_TITLE})"""
 
-    Pairs whose known page, volume or issue differ, or whose years are more than one apart, are left out here already. Of rows with equal content a task lets only the first of each batch take part, and of contents met several times in one batch none
-    in its later batches, so that a group of copies, however large, sends few rows to its buckets; :func:`first_of_same` links the others.
+
+def candidates(prepared: DataFrame, rows: int) -> DataFrame:
+    """Distinct pairs (a < b) of row numbers that share a band key and do not clash in a known page, volume, issue or DOI, or by more than one year.
+
+    Rows that nothing could be accepted with stay out. Of rows equal in all compared fields a task lets the first of each batch take part, and of
+    those met several times none in later batches, so that a group of copies, however large, sends few rows to its buckets. Nothing is lost by it: copies that take part are
+    one publication by the same rules, and :func:`first_of_same` links them. rows: how many there are.
     """
+    hot = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(0, np.int64)
@@ -157,21 +183,28 @@ def candidates(prepared: DataFrame) -> DataFrame:
             new = ~np.isin(content, often)
             often = np.union1d(often, content[times > 2])
             b = b.take(pa.array(np.sort(at[new])))
-            n = {x: b.column(x).to_numpy() for x in ("r", "page", "volume", "issue", "year", "size", "first")}
+            n = {x: b.column(x).to_numpy() for x in ("rid", "page", "volume", "issue", "year", "size", "first", "doi")}
             journal = np.array([int.from_bytes(x.encode()) for x in b.column("journal").to_pylist()], dtype=np.int64)
-            row, key = _band_keys(_registers(b.column("registers")), n["size"], {"p": n["page"], "v": n["volume"], "i": n["issue"], "a": n["first"], "j": journal})
-            # what is known of page, volume, issue and year, in one number; a value of zero is unknown
-            known = sum(((n[x].astype(np.int64) + 1) % (1 << bits) if x != "year" else np.maximum(n[x], 0).astype(np.int64)) << shift for x, shift, bits in KNOWN)
-            yield pa.RecordBatch.from_arrays([pa.array(n["r"][row]), pa.array(key), pa.array(known[row])], names=["r", "key", "known"])
-
-    # whether a row has a DOI is the last bit of what travels with a key
-    rows = prepared.select((F.shiftleft("rid", 1) + (F.col("doi") != 0).cast("int")).alias("r"), "journal", "page", "volume", "issue", "year", "size", "registers", "first", "content")
-    keys = rows.mapInArrow(run, "r bigint, key bigint, known bigint")
+            row, key = _band_keys(_registers(b.column("registers")), n["size"], {"p": n["page"], "v": n["volume"], "a": n["first"], "j": journal})
+            if len(hot):
+                row, key = _split_hot(row, key, hot, n)
+            # what is known of the fields, in one number; a value of zero is unknown
+            value = {"year": np.maximum(n["year"], 0).astype(np.int64), "doi": np.where(n["doi"] == 0, 0, 1 + (n["doi"].view(np.uint64) % np.uint64(127)).astype(np.int64))}
+            known = sum(value.get(x, (n[x].astype(np.int64) + 1) % (1 << bits)) << shift for x, shift, bits in KNOWN)
+            yield pa.RecordBatch.from_arrays([pa.array(n["rid"][row]), pa.array(key), pa.array(known[row])], names=["r", "key", "known"])
+
+    part = prepared.where(TAKES_PART).select("rid", "journal", "page", "volume", "issue", "year", "doi", "size", "registers", "first", "content")
+    limit = max(HOT_BUCKET, rows // 10_000)
+    if rows > limit:
+        sampled = part.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(SAMPLE)) == 0).mapInArrow(run, "r bigint, key bigint, known bigint")
+        # at most bands * 10,000 keys can be hot
+        hot = np.sort(np.array([r[0] for r in sampled.groupBy("key").count().where(F.col("count") > limit // SAMPLE).collect()], dtype=np.int64))
+    keys = part.mapInArrow(run, "r bigint, key bigint, known bigint")
     x, y = (keys.select("key", F.col("r").alias(k), F.col("known").alias(f"k{k}")) for k in "ab")
-    part = {n: [f"(shiftright(k{k}, {shift}) & {(1 << bits) - 1})" for k in "ab"] for n, shift, bits in KNOWN}
-    agree = " and ".join(f"({p} = {q} or {p} = 0 or {q} = 0)" for n, (p, q) in part.items() if n != "year")
-    p, q = part["year"]
-    return x.join(y, "key").where(f"a < b and (a & b & 1) = 0 and {agree} and (abs({p} - {q}) <= 1 or {p} = 0 or {q} = 0)").selectExpr("shiftright(a, 1) as a", "shiftright(b, 1) as b").distinct()
+    field = {n: [f"(shiftright(k{k}, {shift}) & {(1 << bits) - 1})" for k in "ab"] for n, shift, bits in KNOWN}
+    agree = " and ".join(f"({p} = {q} or {p} = 0 or {q} = 0)" for n, (p, q) in field.items() if n != "year")
+    p, q = field["year"]
+    return x.join(y, "key").where(f"a < b and {agree} and (abs({p} - {q}) <= 1 or {p} = 0 or {q} = 0)").select("a", "b").distinct()
 
 
 SIDE = ["words", "families", "journal", "page", "volume", "issue", "year", "doi", "size", "registers"]
@@ -180,19 +213,19 @@ SIDE = ["words", "families", "journal", "page", "volume", "issue", "year", "doi"
 def verified(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those ``pairs`` (a, b) that are one publication.
 
-    Known and different pages, volumes or issues, or (without a common DOI) plausible years more than one apart, decide against it.
+    Rows of one id are. Known and different DOIs, pages, volumes or issues, or (without a common DOI) plausible years more than one apart, decide against it.
     A common DOI decides for it unless the titles have nothing in common. Otherwise the titles
     must agree: by estimate, then word for word (slips, insertions, lost parts and order do not count; two or more words
     replaced do), more strictly where no page is at hand.
     """
-    side = prepared.select("rid", F.struct(F.xxhash64("id").alias("idh"), "content", *SIDE).alias("x"))
+    side = prepared.select("rid", F.struct(F.xxhash64("id").alias("idh"), *SIDE).alias("x"))
     # the sides have one row a key, so a hash table of a partition is no larger than the partition, and no wide row is sorted
     left, right = (side.select(F.col("rid").alias(k), F.col("x").alias(n)).hint("shuffle_hash") for k, n in (("a", "x"), ("b", "y")))
     both = pairs.join(left, "a").join(right, "b")
-    both = both.select("a", "b", F.expr("x.idh = y.idh or (x.content = y.content and x.size > 0 and (x.page >= 0 or x.volume >= 0 and x.families <> ''))").alias("same_id"), *[F.col(f"{s}.{c}").alias(f"{c}_{n}") for s, n in (("x", "a"), ("y", "b")) for c in SIDE])
+    both = both.select("a", "b", F.expr("x.idh = y.idh").alias("same_id"), *[F.col(f"{s}.{c}").alias(f"{c}_{n}") for s, n in (("x", "a"), ("y", "b")) for c in SIDE])
     both = both.withColumn("cited", (F.col("doi_a") != 0) & (F.col("doi_a") == F.col("doi_b")))
     known = " and ".join(f"({c}_a = {c}_b or {c}_a < 0 or {c}_b < 0)" for c in ("page", "volume", "issue"))
-    both = both.where(f"{known} and (cited or same_id or year_a < 0 or year_b < 0 or abs(year_a - year_b) <= 1)")
+    both = both.where(f"same_id or {known} and (doi_a = doi_b or doi_a = 0 or doi_b = 0) and (cited or year_a < 0 or year_b < 0 or abs(year_a - year_b) <= 1)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +233,7 @@ def verified(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
                 continue
             n = {x: batch.column(x).to_numpy() for x in batch.schema.names if x.rpartition("_")[0] in ("page", "volume", "issue", "year", "size")}
             same = {x: (n[f"{x}_a"] == n[f"{x}_b"]) & (n[f"{x}_a"] >= 0) for x in ("page", "volume", "issue")}
-            dated = (n["year_a"] > 0) & (n["year_b"] > 0)
+            dated = ((n["year_a"] > 0) & (n["year_b"] > 0)).astype(int) + ((n["year_a"] > 0) & (n["year_a"] == n["year_b"]))
             reg = [_registers(batch.column(f"registers_{s}")) for s in "ab"]
             common = joint_estimate(reg[0], reg[1], n["size_a"], n["size_b"])
             share = common / np.maximum(np.minimum(n["size_a"], n["size_b"]), 1)
@@ -217,8 +250,11 @@ def verified(prepared: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _one_publication(words_a: str, words_b: str, families_a: str, families_b: str, journal_a: str, journal_b: str, page: bool, volume: bool, issue: bool, dated: bool) -> bool:
-    """The decision on a pair without a clash; page, volume, issue: known and the same; dated: both years are known."""
+def _one_publication(words_a: str, words_b: str, families_a: str, families_b: str, journal_a: str, journal_b: str, page: bool, volume: bool, issue: bool, dated: int) -> bool:
+    """The decision on a pair without a clash; page, volume, issue: known and the same; dated: 1 if both years are known, 2 if they are the same.
+
+    What is accepted shares a page, a volume, an issue or a year within one, and each side would be accepted with a copy of itself: :data:`TAKES_PART` and :func:`_split_hot` rest on it.
+    """
     if journal_a and journal_b and journal_a != journal_b:
         return False
     people = bool(families_a) and families_a == families_b
@@ -235,20 +271,21 @@ def _one_publication(words_a: str, words_b: str, families_a: str, families_b: st
     if marks(words_a) != marks(words_b) or less > 1 or same < 3 or marking(only_a + only_b):
         return False
     if people:
-        return volume or issue or (dated and more <= 1)
-    return volume and (issue or dated) and journal_a == journal_b and (more <= 3 or dated and issue)
+        return volume or issue or (dated > 0 and more <= 1)
+    if dated == 2 and more == 0 and same >= 6 and journal_a and journal_a == journal_b:
+        return True  # a long title that is the same in a journal and year
+    return volume and (issue or dated > 0) and journal_a == journal_b and (more <= 3 or dated > 0 and issue)
 
 
 def linked_rows(prepared: DataFrame, rows: int, ws: Workspace) -> DataFrame:
     """``(rid, group)`` of every row of ``prepared`` (so many rows) that is linked to another one."""
-    pairs = ws.write(candidates(prepared).unionByName(first_of_same(prepared, rows)), "pairs")
-    ws.release()
+    with ws.tidy():
+        found = candidates(prepared, rows)
+    pairs = ws.write(found.unionByName(first_of_same(prepared, rows)), "pairs")
     links = ws.write(verified(prepared, pairs), "links")
     ws.drop(pairs)
-    ws.release()
     groups = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), ws)
     ws.drop(links)
-    ws.release()
     return groups.select(F.col("id").alias("rid"), F.col("group_id").alias("group"))
 
 

@@ -28,9 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def text_elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, element) of the distinct character grams of each text's words; grams do not cross words. Rows ascend.
 
-    texts: folded to ASCII letters, digits and single spaces. A text without a gram has no element.
+    texts: words of letters and digits of any script with single spaces between. A text without a gram has no element.
     """
-    buf = np.frombuffer(("".join(f" {t} \n" for t in texts)).encode("ascii", "replace") + b"\n\n\n", dtype=np.uint8)
+    lines = "".join(f" {t} \n" for t in texts) + "\n\n\n"
+    # code points where one byte a letter does not do; grams of ASCII letters are the same numbers in both
+    buf = np.frombuffer(lines.encode("ascii"), dtype=np.uint8) if lines.isascii() else np.frombuffer(lines.encode("utf-32-le", "replace"), dtype=np.uint32)
     row = np.cumsum(buf == 10)[: -GRAM + 1]
     n = len(row)
     parts = [buf[k : n + k] for k in range(GRAM)]
@@ -39,7 +41,7 @@ def text_elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inner &= p > 32
     inner &= (parts[0] != 10) & (parts[-1] != 10)
     gram = sum(p[inner].astype(np.uint64) << np.uint64(8 * k) for k, p in enumerate(parts))
-    both = np.sort((row[inner].astype(np.uint64) << np.uint64(32)) | gram)
+    both = np.sort((row[inner].astype(np.uint64) << np.uint64(32)) | (gram & np.uint64(0xFFFFFFFF)))
     both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
     return (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF)
 

@@ -1,15 +1,16 @@
 """Problem 4: the best representative of each group of records of one publication, field by field.
 
 Bayesian fusion with copy detection. Every source database claims values of a group's fields (the title as folded words,
-the year). Accuracies of sources and the dependence of pairs of sources are estimated in turns: a source is as accurate as
+the date). Values that differ by slips or word order only are one value; any other claim is, given a true value, a part of it (a cut title, a date without its day), more
+than it, or something else. Accuracies of sources and the dependence of pairs of sources are estimated in turns, field by field: a source is as accurate as
 the posterior of what it claims; two sources that share false values more often than accuracy explains copy; votes
-that a more accurate source probably lent are discounted; posteriors follow from the discounted votes. The fused values say
-which titles are whole (nothing of the fused title is missing) and which dates are plausible (its year agrees).
-Among those the survivor takes the title of the most trusted source and the most complete date; corrections in force go first.
+that a more accurate source probably lent are discounted; posteriors follow from the discounted votes. The value of largest posterior is the
+title, and the members that carry it, undamaged, are those that may supply it: of these the one with the most trusted source does. The posterior of dates says which year is meant;
+the most complete date of that year (online and print may be one apart) is taken, the more probable one of several. Corrections in force go first.
 
-Distribution: claims are one row a group, with at most one claim a source database, in one written table; they are reduced to counts of
-patterns (who claims, which of them agree), on which the rounds of the estimation work; where patterns are too many, a round is a map over all claims that returns sums per source and pair of sources. Sources are databases: the largest
-``SOURCES_MOST`` keep their identity and the rest count as one, so those sums are bounded; no record is left out. Choices are
+Distribution: claims are one row a group, with one claim a source database; they are reduced to counts of
+patterns (who claims, which of them agree and how the others differ), on which the rounds of the estimation work; where patterns are too many, a round is a map over all claims that returns sums per source and pair of sources.
+The state of the model is one number a source database and one a pair of them that met in a group. Choices are
 aggregates of smallest structs, with map-side combining, so a hot group costs no memory.
 """
 
@@ -18,23 +19,29 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from evisift.llm.neardup import linked_rows, prepare
 from evisift.llm.titles import unmatched
 from evisift.plans.lineage import Workspace
 
-SOURCES_MOST = 200
-#: Most patterns of claims (who claims, which of them agree) that are held on the driver; beyond it each round is a map over all claims.
+#: Most patterns of claims that are held on the driver; beyond it each round is a map over all claims, with the same result.
 PATTERNS_MOST = 200_000
+#: Most databases that ``source_trust`` may list; more is an error.
+TRUST_MOST = 10_000
 ROUNDS = 4
 COPY_RATE, COPY_PRIOR, FALSE_VALUES = 0.8, 0.1, 10
-#: Posterior from which a fused year overrules a date that is more than a year off.
-SURE = 0.8
+#: How a claimed value stands to the true one, and the shares of the kinds of error in titles and in dates: titles lose text but hardly gain any that
+#: looks like a title's; dates lose their day, and print follows online.
+SAME, PART, MORE, OTHER = range(4)
+SHARES = ((0.0, 0.95, 0.0005, 0.0495), (0.0, 0.5, 0.4, 0.1))
+
+Pattern = tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]
 
 
 def field_of(c):
@@ -43,156 +50,198 @@ def field_of(c):
     return F.when(t.rlike(r"^(article )?title$"), "title").when(t.rlike(r"^(issued|year|date|pub(lication|lished)?[ _-]?(date|year)?|date[ _-]issued)$"), "issued").otherwise(t)
 
 
-class Sources:
-    """Accuracies of sources and probabilities that one of a pair copies from the other."""
-
-    def __init__(self, names: list[str]):
-        self.at = {s: k for k, s in enumerate(names)}
-        n = len(names) + 1  # the last one stands for all others
-        self.accuracy, self.copies = np.full(n, 0.8), np.zeros((n, n))
-
-    def posterior(self, claims: list[tuple[int, str]]) -> dict[str, float]:
-        """Posterior of each claimed value; claims are (source, value), one a source at most."""
-        votes: dict[str, float] = {}
-        taken: dict[str, list[int]] = {}
-        for s, v in sorted(claims, key=lambda c: (-self.accuracy[c[0]], c[0])):
-            a, free = min(max(self.accuracy[s], 0.05), 0.99), 1.0
-            for t in taken.get(v, ()):
-                free *= 1 - COPY_RATE * self.copies[s, t]
-            votes[v] = votes.get(v, 0.0) + free * math.log(FALSE_VALUES * a / (1 - a))
-            taken.setdefault(v, []).append(s)
-        top = max(votes.values())
-        weights = {v: math.exp(x - top) for v, x in votes.items()}
-        total = sum(weights.values()) + max(0, FALSE_VALUES + 1 - len(weights)) * math.exp(-top)
-        return {v: w / total for v, w in weights.items()}
-
-
-def _pattern(claim: list[tuple[int, object]]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Who claims, in order, and which of them agree: all that posteriors depend on."""
-    claim = sorted(claim, key=lambda c: c[0])
-    number: dict[object, int] = {}
-    return tuple(s for s, _ in claim), tuple(number.setdefault(v, len(number)) for _, v in claim)
-
-
-def _tally(seen: dict, model: Sources) -> np.ndarray:
-    """Claims and posteriors per source, and evidence per pair of sources (same and true, same and false, different), of counted patterns."""
-    n = len(model.accuracy)
-    own, pair = np.zeros((2, n)), np.zeros((3, n, n))
-    for (who, what), times in seen.items():
-        p = model.posterior(list(zip(who, what)))
+class Model:
+    """Accuracies of sources and probabilities that one of a pair of sources copies from the other. A source has an even number for titles and the next one for dates."""
+
+    def __init__(self) -> None:
+        self.accuracy: dict[int, float] = {}
+        self.copies: dict[tuple[int, int], float] = {}
+
+    def posterior(self, pattern: Pattern) -> list[float]:
+        """Posterior of each claimed value of a pattern; what is missing to one is the probability of a value that nobody claims."""
+        who, what, kind = pattern
+        k = max(what) + 1
+        error = [math.log(max(x, 1e-9) / (FALSE_VALUES if r == OTHER else 1)) for r, x in enumerate(SHARES[who[0] % 2])]
+        score, none, taken = [0.0] * k, 0.0, {}
+        for s, v in sorted(zip(who, what), key=lambda c: (-self.accuracy.get(c[0], 0.8), c[0])):
+            right, free = min(max(self.accuracy.get(s, 0.8), 0.05), 0.99), 1.0
+            for t in taken.setdefault(v, []):
+                free *= 1 - COPY_RATE * self.copies.get((min(s, t), max(s, t)), 0.0)
+            taken[v].append(s)
+            good, bad = free * math.log(right), math.log(1 - right)
+            for j in range(k):
+                score[j] += good if v == j else free * (bad + error[kind[v * k + j]])
+            none += free * (bad + error[OTHER])
+        top = max(score)
+        weights = [math.exp(x - top) for x in score]
+        total = sum(weights) + max(0, FALSE_VALUES + 1 - k) * math.exp(min(none - top, 50))
+        return [w / total for w in weights]
+
+
+def _split(words: str, other: str) -> str:
+    """``words`` with those written as two where ``other`` has them so."""
+    w = other.split()
+    two = {x + y: f"{x} {y}" for x, y in zip(w, w[1:])}
+    return " ".join(two.get(x, x) for x in words.split())
+
+
+def title_kind(claim: str, true: str) -> int:
+    """How a folded title stands to another one. A lost or added word in the middle, slips and joined words do not count, a lost or added end does."""
+    if claim == true:
+        return SAME
+    claim, true = _split(claim, true), _split(true, claim)
+    added, missing, _ = unmatched(claim, true)
+    cut = len(missing) >= 2 or bool(missing) and true.endswith(missing[-1])
+    more = len(added) >= 2 or bool(added) and claim.endswith(added[-1])
+    return (OTHER if cut else MORE) if more else (PART if cut else SAME)
+
+
+def date_kind(claim: int, true: int) -> int:
+    """The same for dates as year, month and day in one number, where 99 is an unknown part. A year more or less is MORE: the other one of print and online."""
+    if claim == true:
+        return SAME
+    a, b = ((x // 10000, x // 100 % 100, x % 100) for x in (claim, true))
+    if all(x == y or x == 99 for x, y in zip(a, b)):
+        return PART
+    return MORE if abs(a[0] - b[0]) <= 1 else OTHER
+
+
+def pattern_of(claims: list[tuple[int, object]], kind_of) -> tuple[Pattern, list]:
+    """The pattern of a field's claims (source, value) and its values; the first spelling of a value is the commonest, then the longest."""
+    claims = sorted(claims, key=lambda c: c[0])
+    times = Counter(v for _, v in claims)
+    values, at = [], {}
+    for v in sorted(times, key=lambda v: (-times[v], -len(str(v)), v)):
+        at[v] = next((k for k, w in enumerate(values) if kind_of(v, w) == SAME), len(values))
+        if at[v] == len(values):
+            values.append(v)
+    kind = tuple(kind_of(v, w) for v in values for w in values)
+    return (tuple(s for s, _ in claims), tuple(at[v] for _, v in claims), kind), values
+
+
+def _text(p: Pattern) -> str:
+    return "|".join(",".join(map(str, part)) for part in p)
+
+
+def _pattern(text: str) -> Pattern:
+    return tuple(tuple(map(int, part.split(","))) for part in text.split("|"))  # type: ignore[return-value]
+
+
+def _tally(seen: dict[Pattern, int], model: Model) -> dict[tuple[int, int, int], float]:
+    """Sums over counted patterns: claims (0) and posteriors (1) per source; same and true (2), same and false (3), different (4) per pair."""
+    out: dict[tuple[int, int, int], float] = {}
+
+    def add(key: tuple[int, int, int], x: float) -> None:
+        out[key] = out.get(key, 0.0) + x
+
+    for pattern, times in seen.items():
+        who, what, _ = pattern
+        p = model.posterior(pattern)
         for k, (s, v) in enumerate(zip(who, what)):
-            own[0, s] += times
-            own[1, s] += times * p[v]
+            add((0, s, 0), times)
+            add((1, s, 0), times * p[v])
             for t, w in zip(who[:k], what[:k]):
                 if v == w:
-                    pair[0, s, t] += times * p[v]
-                    pair[1, s, t] += times * (1 - p[v])
+                    add((2, t, s), times * p[v])
+                    add((3, t, s), times * (1 - p[v]))
                 else:
-                    pair[2, s, t] += times
-    return np.concatenate([own.ravel(), pair.ravel()])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Counter:
-    seen: Counter = Counter()
-    for b in batches:
-        for claim in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
-            seen.update(map(_pattern, _fields(*claim)))
-    return seen
-
+                    add((4, t, s), times)
+    return out
 
-def _patterns(claims: DataFrame) -> dict | None:
-    """How often each pattern of claims occurs, or None if there are more than ``PATTERNS_MOST``. Posteriors depend on nothing else."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _counted(batches)
-        names = ["|".join(",".join(map(str, side)) for side in p) for p in seen]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["p", "n"])
-
-    got = claims.select("who", "title", "year").mapInArrow(run, "p string, n bigint").groupBy("p").agg(F.sum("n").alias("n")).limit(PATTERNS_MOST + 1).collect()
-    if len(got) > PATTERNS_MOST:
-        return None
-    return {tuple(tuple(map(int, side.split(","))) for side in r["p"].split("|")): r["n"] for r in sorted(got)}
+def _patterns(claims: DataFrame) -> DataFrame:
+    """Each pattern of a title's or a date's claims with its number of groups."""
+    return claims.select(F.explode(F.array_compact(F.array("title_pattern", "date_pattern"))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sums(claims: DataFrame, model: Sources) -> np.ndarray:
-    """The same sums by a map over all claims, where patterns are too many to be held together."""
+def _sums(patterns: DataFrame, model: Model) -> dict[tuple[int, int, int], float]:
+    """The same sums by a map, where patterns are too many to be held together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = _tally(_counted(batches), model)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "x"])
-
-    got = claims.select("who", "title", "year").mapInArrow(run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
-    n = len(model.accuracy)
-    flat = np.zeros(2 * n + 3 * n * n)
-    flat[got["at"].to_numpy()] = got["x"].to_numpy()
-    return flat
-
+        for b in batches:
+            got = _tally(dict(zip(map(_pattern, b.column("p").to_pylist()), b.column("n").to_pylist())), model)
+            cols = [*zip(*got), got.values()] if got else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["k", "s", "t", "x"])
 
-def _fields(who: list[int], title: list[str | None], year: list[int | None]) -> list[list[tuple[int, object]]]:
-    """The claims of a group, title and year apart."""
-    both = [(s, t) for s, t in zip(who, title) if t is not None], [(s, y) for s, y in zip(who, year) if y is not None]
-    return [c for c in both if c]
+    got = patterns.mapInArrow(run, "k int, s int, t int, x double").groupBy("k", "s", "t").agg(F.sum("x").alias("x"))
+    return {(r["k"], r["s"], r["t"]): r["x"] for r in got.collect()}
 
 
-def fuse(claims: DataFrame, names: list[str], rounds: int = ROUNDS) -> Sources:
-    """Accuracies and copying from ``claims`` (rows of :func:`claim_rows`)."""
-    model, patterns = Sources(names), _patterns(claims)
-    n = len(model.accuracy)
+def fuse(claims: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model estimated from ``claims`` (rows of :func:`claim_rows`)."""
+    model, patterns = Model(), _patterns(claims)
+    rows = patterns.limit(PATTERNS_MOST + 1).collect()
+    seen = {_pattern(r["p"]): r["n"] for r in sorted(rows)} if len(rows) <= PATTERNS_MOST else None
     for _ in range(rounds):
-        flat = _sums(claims, model) if patterns is None else _tally(patterns, model)
-        own, pair = flat[: 2 * n].reshape(2, n), flat[2 * n :].reshape(3, n, n)
-        pair = pair + pair.transpose(0, 2, 1)
-        model.accuracy = np.clip((own[1] + 1.6) / (own[0] + 2), 0.05, 0.99)
-        a, b = model.accuracy[:, None], model.accuracy[None, :]
-        both, false = a * b, (1 - a) * (1 - b) / FALSE_VALUES
-        lent = np.sqrt(a * b) * COPY_RATE + both * (1 - COPY_RATE), np.sqrt((1 - a) * (1 - b)) * COPY_RATE + false * (1 - COPY_RATE)
-        odds = pair[0] * np.log(lent[0] / both) + pair[1] * np.log(lent[1] / false) + pair[2] * math.log(1 - COPY_RATE)
-        model.copies = 1 / (1 + np.exp(-np.clip(odds + math.log(COPY_PRIOR / (1 - COPY_PRIOR)), -50, 50)))
-        np.fill_diagonal(model.copies, 0)
+        sums = _sums(patterns, model) if seen is None else _tally(seen, model)
+        model.accuracy = {s: min(max((sums.get((1, s, 0), 0.0) + 1.6) / (n + 2), 0.05), 0.99) for (k, s, _), n in sums.items() if k == 0}
+        model.copies = {}
+        for s, t in {(s, t) for k, s, t in sums if k in (2, 3, 4)}:
+            a, b = model.accuracy[s], model.accuracy[t]
+            both, false = a * b, (1 - a) * (1 - b) / FALSE_VALUES
+            lent = math.sqrt(a * b) * COPY_RATE + both * (1 - COPY_RATE), math.sqrt((1 - a) * (1 - b)) * COPY_RATE + false * (1 - COPY_RATE)
+            same, wrong, differ = (sums.get((k, s, t), 0.0) for k in (2, 3, 4))
+            odds = same * math.log(lent[0] / both) + wrong * math.log(lent[1] / false) + differ * math.log(1 - COPY_RATE) + math.log(COPY_PRIOR / (1 - COPY_PRIOR))
+            model.copies[s, t] = 1 / (1 + math.exp(-min(max(odds, -50), 50)))
     return model
 
 
+CLAIMS = "group bigint, title_pattern string, titles array<string>, date_pattern string, dates array<int>"
+
+
 def claim_rows(m: DataFrame, names: list[str]) -> DataFrame:
-    """``(group, who, title, year)``: arrays with one claim a source, of its longest title without evident damage and of the year of its most complete date.
+    """Columns ``CLAIMS``: patterns and values of each group's claims, with one claim a source: its longest title without evident damage and its most complete date.
 
-    Evidently damaged titles and implausible dates claim nothing.
+    A record that several databases hold is one witness, the first of them. Evidently damaged titles and implausible dates claim nothing.
     """
-    at = F.create_map(*[F.lit(x) for k, s in enumerate(names) for x in (s, k)]) if names else F.lit(None).cast("map<string,int>")
+    number = {s: k for k, s in enumerate(names)}
     title = F.when(~F.col("damaged"), F.struct(F.length("words"), F.col("words").alias("w"))).alias("t")
-    each = m.select("group", F.explode("sources").alias("s"), title, F.when(F.col("year") > 0, F.struct("complete", F.col("year").alias("y"))).alias("d"))
-    each = each.select("group", F.coalesce(F.try_element_at(at, F.col("s")), F.lit(len(names))).alias("s"), "t", "d")
-    best = each.groupBy("group", "s").agg(F.max("t").getField("w").alias("w"), F.max("d").getField("y").alias("y"))
-    rows = best.groupBy("group").agg(F.collect_list(F.struct("s", "w", "y")).alias("c"))
-    return rows.select("group", F.col("c.s").alias("who"), F.col("c.w").alias("title"), F.col("c.y").alias("year"))
+    each = m.where("size(sources) > 0").select("group", F.get("sources", F.lit(0)).alias("s"), title, F.when(F.col("year") > 0, F.struct("complete", F.col("date_code").alias("d"))).alias("d"))
+    best = each.groupBy("group", "s").agg(F.max("t").getField("w").alias("w"), F.max("d").getField("d").alias("d"))
+    rows = best.groupBy("group").agg(F.collect_list(F.struct("s", "w", "d")).alias("c")).select("group", F.col("c.s").alias("who"), F.col("c.w").alias("title"), F.col("c.d").alias("date"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for who, title, date in zip(*(b.column(c).to_pylist() for c in ("who", "title", "date"))):
+                row: list = []
+                for at, (field, kind) in enumerate(((title, title_kind), (date, date_kind))):
+                    claims = [(2 * number[s] + at, v) for s, v in zip(who, field) if v is not None]
+                    pattern, values = pattern_of(claims, kind) if claims else (None, None)
+                    row += [pattern and _text(pattern), values]
+                out.append(row)
+            cols = list(zip(*out)) or [[]] * 4
+            types = (pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("group"), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=["group", "title_pattern", "titles", "date_pattern", "dates"])
 
-def fused_values(claims: DataFrame, model: Sources) -> DataFrame:
-    """``(group, title, title_posterior, longest, year, year_posterior)``: the values of largest posterior (ties: the longer, then the smaller one) and the longest title."""
+    return rows.mapInArrow(run, CLAIMS)
 
-    known: dict = {}
 
-    def best(c: list[tuple[int, object]]) -> tuple[object, float | None]:
-        if not c:
-            return None, None
-        c = sorted(c, key=lambda x: x[0])
-        who, what = pattern = _pattern(c)
-        p = known.get(pattern)
-        if p is None:
-            p = known[pattern] = model.posterior(list(zip(who, what)))
-        v, k = min(((v, k) for (_, v), k in zip(c, what)), key=lambda x: (-round(p[x[1]], 9), -len(str(x[0])), x[0]))
-        return v, p[k]
+def fused_values(claims: DataFrame, model: Model) -> DataFrame:
+    """``(group, title, title_posterior, date, year, year_posterior)``: the values of largest posterior; a tie goes to the value listed first. A year's posterior is the one of all its dates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(100_000)(lambda text: model.posterior(_pattern(text)))
         for b in batches:
             out = []
-            for who, title, year in zip(*(b.column(c).to_pylist() for c in ("who", "title", "year"))):
-                t, y = [(s, x) for s, x in zip(who, title) if x is not None], [(s, x) for s, x in zip(who, year) if x is not None]
-                out.append((*best(t), max((x for _, x in t), key=lambda x: (x.count(" "), len(x), x), default=None), *best(y)))
+            for tp, tv, dp, dv in zip(*(b.column(c).to_pylist() for c in ("title_pattern", "titles", "date_pattern", "dates"))):
+                row: list = [None] * 5
+                if tp:
+                    p = known(tp)
+                    k = max(range(len(p)), key=lambda k: (round(p[k], 9), -k))
+                    row[:2] = tv[k], p[k]
+                if dp:
+                    p = known(dp)
+                    k = max(range(len(p)), key=lambda k: (round(p[k], 9), -k))
+                    year = dv[k] // 10000
+                    row[2:] = dv[k], year, sum(x for x, d in zip(p, dv) if d // 10000 == year)
+                out.append(row)
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("group"), *[pa.array(list(c), k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.string(), pa.int32(), pa.float64()))]], names=["group", "title", "title_posterior", "longest", "year", "year_posterior"])
+            types = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
+            names = ["group", "title", "title_posterior", "date", "year", "year_posterior"]
+            yield pa.RecordBatch.from_arrays([b.column("group"), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=names)
 
-    return claims.mapInArrow(run, "group bigint, title string, title_posterior double, longest string, year int, year_posterior double")
+    return claims.mapInArrow(run, "group bigint, title string, title_posterior double, date int, year int, year_posterior double")
 
 
 def in_force(amendments: DataFrame) -> DataFrame:
@@ -201,10 +250,11 @@ def in_force(amendments: DataFrame) -> DataFrame:
     return a.groupBy("id", "field").agg(F.max(F.struct("ts", "event_id", "new_value")).alias("x")).select("id", "field", "x.new_value", "x.ts")
 
 
-def _prepared(records: DataFrame, trust: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, Sources]:
-    ranks = dict(trust.where("db_name is not null").groupBy("db_name").agg(F.min("trust_rank").alias("r")).limit(10_001).collect())  # a list of databases, checked
-    if len(ranks) > 10_000:
-        raise ValueError("source_trust lists more than 10,000 databases")
+def _prepared(records: DataFrame, trust: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Members of groups, and the claims of groups, both written."""
+    ranks = dict(trust.where("db_name is not null").groupBy("db_name").agg(F.min("trust_rank").alias("r")).limit(TRUST_MOST + 1).collect())  # a list of databases, checked
+    if len(ranks) > TRUST_MOST:
+        raise ValueError(f"source_trust lists more than {TRUST_MOST} databases")
     last = max(ranks.values(), default=0) + 1
     rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]) if ranks else F.lit(None).cast("map<string,int>")
     prepared, rows = ws.counted(prepare(records, survivor=True), "prepared")
@@ -216,37 +266,43 @@ def _prepared(records: DataFrame, trust: DataFrame, ws: Workspace) -> tuple[Data
     m = wide.join(groups.hint("shuffle_hash"), "rid").withColumn("sources", listed).select("group", "id", "words", "damaged", "date_code", "year", complete.alias("complete"), "sources", "title_hash", best.alias("rank"))
     m = ws.write(m, "members")
     ws.drop(prepared)
-    ws.release()
-    names = [r[0] for r in m.select(F.explode("sources").alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").limit(SOURCES_MOST).collect()]
-    claims = ws.write(claim_rows(m, names), "claims")
-    ws.release()
-    return m, claims, fuse(claims, names)
-
+    with ws.tidy():
+        names = sorted(r[0] for r in m.select(F.explode("sources").alias("s")).distinct().collect())  # the databases that occur
+    return m, ws.write(claim_rows(m, names), "claims")
 
-def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> DataFrame:
-    """``(group_id, title_from, issued_from)`` of every group of two or more records.
 
-    title_from: the member with the latest title correction in force, else of the members with a whole title the one with the most
-    trusted source, else (no title is whole) of all members the one with the least damage. issued_from: likewise, else the most complete plausible date;
-    null if no member has a plausible date. Ties go to the better source, then to the smaller id.
-    """
-    ws = Workspace(records.sparkSession, "survivor")
-    m, claims, model = _prepared(records, trust, ws)
-    fused = fused_values(claims, model).select("group", "title", "longest", F.when(F.col("year_posterior") >= SURE, F.col("year")).alias("fused_year"))
-    j = m.select("group", "id", "words", "damaged", "complete", "year", "rank").join(fused.hint("shuffle_hash"), "group", "left")
+@F.arrow_udf(BooleanType())
+def _carries(words: pa.Array, title: pa.Array) -> pa.Array:
+    """Whether a folded title is the given one but for slips; null stays null."""
+    return pa.array([None if w is None or t is None else title_kind(w, t) == SAME for w, t in zip(words.to_pylist(), title.to_pylist())], pa.bool_())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bad = [2 if d else int(_cut(w, {f, g} - {None, w})) for w, d, f, g in zip(*(b.column(c).to_pylist() for c in ("words", "damaged", "title", "longest")))]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("group", "id", "complete", "year", "rank", "fused_year")], pa.array(bad, pa.int32())], names=["group", "id", "complete", "year", "rank", "fused_year", "bad"])
 
-    j = j.mapInArrow(run, "group bigint, id string, complete int, year int, rank int, fused_year int, bad int")
+def _chosen(m: DataFrame, fused: DataFrame) -> DataFrame:
+    """``(group, group_id, title_id, date_id)`` of groups of two or more ids, without regard to corrections."""
+    f = fused.select("group", "title", "date", F.col("year").alias("fused_year"))
+    j = m.select("group", "id", "words", "damaged", "complete", "year", "date_code", "rank").join(f.hint("shuffle_hash"), "group", "left")
+    differs = F.when(~F.col("damaged") & (F.col("words") != F.col("title")), F.col("words"))
+    j = j.withColumn("bad", F.when(F.col("damaged"), 2).when(_carries(differs, F.col("title")), 0).when(F.col("words") == F.col("title"), 0).otherwise(1))
     fits = (F.col("complete") > 0) & (F.col("fused_year").isNull() | (F.abs(F.col("year") - F.col("fused_year")) <= 1))
-    chosen = j.groupBy("group").agg(
+    date = F.struct((-F.col("complete")).alias("c"), (F.col("date_code") != F.col("date")).alias("o"), "rank", "id")
+    return j.groupBy("group").agg(
         F.min("id").alias("group_id"), F.max("id").alias("last_id"),
-        F.min(F.struct("bad", "rank", "id")).getField("id").alias("title_id"),
-        F.min(F.when(fits, F.struct((-F.col("complete")).alias("c"), "rank", "id"))).getField("id").alias("date_id"),
+        F.min(F.struct("bad", "rank", "id")).getField("id").alias("title_id"), F.min(F.when(fits, date)).getField("id").alias("date_id"),
     ).where("group_id < last_id")
+
+
+def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> DataFrame:
+    """``(group_id, title_from, issued_from)`` of every group of two or more records.
+
+    title_from: the member with the latest title correction in force, else of the members that carry the fused title the one with the most
+    trusted source, else (none is undamaged) of all members the one with the least damage. issued_from: likewise, else the most complete date within a year of the fused one;
+    null if no member has a plausible date. Ties go to the more probable date, then to the better source, then to the smaller id.
+    """
+    ws = Workspace(records.sparkSession, "survivor")
+    m, claims = _prepared(records, trust, ws)
+    with ws.tidy():
+        model = fuse(claims)
+    chosen = _chosen(m, fused_values(claims, model))
     # corrections are few beside records: they meet a few narrow columns of the members
     part = lambda c: F.lpad(F.nullif(c, F.lit(99)).cast("string"), 2, "0")
     date = F.when(F.col("date_code") < 0, "").otherwise(F.concat_ws("-", F.floor(F.col("date_code") / 10000).cast("string"), part(F.floor(F.col("date_code") / 100) % 100), part(F.col("date_code") % 100)))
@@ -256,19 +312,11 @@ def survivors(records: DataFrame, amendments: DataFrame, trust: DataFrame) -> Da
     return chosen.join(last, "group", "left").select("group_id", F.coalesce("title_fix", "title_id").alias("title_from"), F.coalesce("issued_fix", "date_id").alias("issued_from"))
 
 
-def _cut(words: str, references: set[str]) -> bool:
-    """Whether the last word, or two or more, of a longer reference title are missing."""
-    have, n = set(words.split()), words.count(" ")
-    for r in references:
-        if n < r.count(" ") and not have.issuperset(r.split()):
-            missing = unmatched(r, words)[0]
-            if len(missing) >= 2 or missing and r.endswith(missing[-1]):
-                return True
-    return False
-
-
 def fused_records(records: DataFrame, trust: DataFrame) -> DataFrame:
     """``(group_id, title_words, title_posterior, year, year_posterior)``: the fused values of every group of two or more records."""
-    m, claims, model = _prepared(records, trust, Workspace(records.sparkSession, "fused"))
+    ws = Workspace(records.sparkSession, "fused")
+    m, claims = _prepared(records, trust, ws)
+    with ws.tidy():
+        model = fuse(claims)
     ids = m.groupBy("group").agg(F.min("id").alias("group_id"), F.max("id").alias("last_id")).where("group_id < last_id").select("group", "group_id")
     return ids.join(fused_values(claims, model), "group", "left").select("group_id", F.col("title").alias("title_words"), "title_posterior", "year", "year_posterior")

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 _TAG = re.compile(r"<[^<>]{1,40}>")
 _OTHER = re.compile(r"[^a-z0-9]+")
+_NO_LETTER = re.compile(r"[\W_]+")
 _BAD = re.compile(r"[â€Ã�]")
 _JOINED = re.compile(r"(?<=[a-z])['’](?=[a-z])")
 #: What aggregators put behind a title.
@@ -34,10 +35,14 @@ _NUMBERS = {"one": "1", "two": "2", "three": "3", "four": "4", "i": "1", "ii": "
 
 @lru_cache(200_000)
 def fold(text: str) -> str:
-    """ASCII letters of a name, in lower case."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", repair(text)).encode("ascii", "ignore").decode()
-    return _OTHER.sub(" ", text.lower()).strip()
+    """The words of a name in lower case, without accents; letters of other scripts stay."""
+    return _OTHER.sub(" ", text.lower()).strip() if text.isascii() else _plain(repair(text))
+
+
+def _plain(text: str) -> str:
+    """The same for a text that is not ASCII: compatibility forms are opened, marks on letters left out."""
+    t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).lower())
+    return _NO_LETTER.sub(" ", "".join(c for c in t if not unicodedata.combining(c))).strip()
 
 
 def repair(text: str) -> str:
@@ -61,13 +66,13 @@ def normal(title: str | None) -> str:
     if "<" in t:
         t = _TAG.sub("", t)
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", repair(t)).encode("ascii", "ignore").decode()
+        t = unicodedata.normalize("NFKD", repair(t))
     t = t.lower()
-    if "'" in t:
+    if "'" in t or "’" in t:
         t = _JOINED.sub("", t)
     if t.endswith(("]", ")", "available", "available.", "online")):
         t = _NOISE.sub("", t)
-    return _OTHER.sub(" ", t).strip()
+    return _OTHER.sub(" ", t).strip() if t.isascii() else _plain(t)
 
 
 def marks(words: str) -> str:

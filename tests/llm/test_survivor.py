@@ -1,9 +1,10 @@
 from datetime import datetime
 
 import numpy as np
+import pytest
 
 from evisift.llm import survivor
-from evisift.llm.survivor import Sources, fuse, survivors
+from evisift.llm.survivor import CLAIMS, MORE, OTHER, PART, SAME, Model, date_kind, fuse, fused_values, pattern_of, survivors, title_kind
 from tests.llm.test_neardup import BASE, SCHEMA, record
 
 AM = "event_id string, record_id string, field string, new_value string, ts timestamp, id string"
@@ -45,24 +46,56 @@ def test_empty(spark):
     assert run(spark, []) == {} and run(spark, [record("a", BASE), record("a", BASE)]) == {}
 
 
+def _claims(spark, rows):
+    out = []
+    for k, values in rows:
+        pattern, titles = pattern_of([(2 * s, v) for s, v in enumerate(values)], lambda a, b: SAME if a == b else OTHER)
+        out.append((k, "|".join(",".join(map(str, x)) for x in pattern), titles, None, None))
+    return spark.createDataFrame(out, CLAIMS)
+
+
 def test_copied_votes_count_less(spark, monkeypatch):
-    """Two sources share one source's slips; the pair is found dependent and its votes are discounted."""
+    """A source that repeats another one's slips is found dependent, and its votes are discounted."""
     rng = np.random.default_rng(5)
     rows = []
     for k in range(300):
         own = ["t" if rng.random() < p else f"f{rng.integers(5)}" for p in (0.95, 0.9, 0.85, 0.85)]
         s2 = "t" if rng.random() < 0.6 else f"f{rng.integers(5)}"
-        rows.append((k, [0, 1, 2, 3, 4, 5], [*own, s2, s2 if rng.random() < 0.95 else "t"], [None] * 6))
-    claims = spark.createDataFrame(rows, "group bigint, who array<int>, title array<string>, year array<int>")
-    m = fuse(claims, ["p", "q", "r", "s", "x", "copy"], rounds=4)
-    assert m.copies[4, 5] > 0.9 > 0.5 > m.copies[:4, :4].max() and m.accuracy[:4].min() > m.accuracy[4]
+        rows.append((k, [*own, s2, s2 if rng.random() < 0.95 else "t"]))
+    claims = _claims(spark, rows)
+    m = fuse(claims, rounds=4)
+    honest = [m.copies.get((s, t), 0) for s in (0, 2, 4, 6) for t in (0, 2, 4, 6) if s < t]
+    assert m.copies[8, 10] > 0.9 > 0.5 > max(honest) and min(m.accuracy[s] for s in (0, 2, 4, 6)) > m.accuracy[8]
     monkeypatch.setattr(survivor, "PATTERNS_MOST", 3)
-    other = fuse(claims, ["p", "q", "r", "s", "x", "copy"], rounds=4)
-    assert np.allclose(other.accuracy, m.accuracy) and np.allclose(other.copies, m.copies)
-    p = m.posterior([(0, "t"), (4, "f1"), (5, "f1")])
-    assert max(p, key=p.get) == "t"
+    other = fuse(claims, rounds=4)
+    assert other.accuracy == pytest.approx(m.accuracy) and other.copies == pytest.approx(m.copies)
+    pattern, values = pattern_of([(0, "t"), (8, "f1"), (10, "f1")], lambda a, b: SAME if a == b else OTHER)
+    p = dict(zip(values, m.posterior(pattern)))
+    m.copies = {}
+    free = dict(zip(values, m.posterior(pattern)))
+    assert p["t"] > p["f1"] and p["f1"] < free["f1"]
 
 
 def test_plain_posterior():
-    p = Sources(["a", "b"]).posterior([(0, "x"), (1, "x")])
-    assert p["x"] > 0.99
+    assert Model().posterior(pattern_of([(0, "x"), (2, "x")], title_kind)[0])[0] > 0.99
+
+
+def test_kinds():
+    whole = "effect of light on sleep a cluster randomised trial with metaanalysis"
+    assert title_kind("effect of light on slep a randomised cluster trial with meta analysis", whole) == SAME
+    assert title_kind("effect of light on sleep", whole) == PART and title_kind(whole, "effect of light on sleep") == MORE
+    assert title_kind("effect of light on cats and dogs", whole) == OTHER
+    assert [date_kind(x, 20100203) for x in (20100203, 20100299, 20109999, 20110101, 20150203)] == [SAME, PART, PART, MORE, OTHER]
+
+
+def test_a_cut_title_of_the_best_source_loses_by_the_fusion(spark, monkeypatch):
+    rows = [record("a", BASE[:52], db=("m",), date=(2010,)), record("b", BASE, db=("n",), date=(2010, 3)), record("c", BASE + ".", db=("o",), date=(2011, 4, 1))]
+    assert run(spark, rows)["a"] == ("b", "c")
+    monkeypatch.setattr(survivor, "fused_values", lambda c, m: fused_values(c, m).selectExpr("group", "cast(null as string) title", "cast(null as int) date", "cast(null as int) year"))
+    assert run(spark, rows)["a"][0] == "a"  # without the fused title nothing tells that it is cut
+
+
+def test_many_sources(spark):
+    """Each database keeps its own accuracy, however many there are."""
+    rows = [record(f"r{k:03d}", BASE, db=(f"db{k:03d}",), date=(2010, 1, k % 28 + 1)) for k in range(260)]
+    assert run(spark, rows)["r000"][0] == "r000"
