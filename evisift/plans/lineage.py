@@ -68,7 +68,8 @@ class Workspace:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{label}"
         with self.tidy():
-            df.write.option("compression", "zstd").parquet(path)
+            # sketches, texts and numbers of rows hardly repeat: building dictionaries costs more than it saves
+            df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._evisift_path = path  # type: ignore[attr-defined]
         return out
