@@ -41,7 +41,7 @@ HOT_BUCKET, SAMPLE = 4_096, 32
 
 PREPARED = "rid bigint, id string, words string, families string, journal string, page int, volume int, issue int, year int, doi bigint, size int, registers binary, first bigint, content bigint"
 #: What choosing a survivor needs of a record, beside; see survivor.
-EXTRA = "date_code int, sources string, title_hash bigint, damaged boolean"
+EXTRA = "date_code int, source string, rank int, title_hash bigint, damaged boolean"
 
 
 def _number(c: str) -> Column:
@@ -120,13 +120,13 @@ def _prepared(batch: pa.RecordBatch) -> pa.RecordBatch:
     cols += [batch.column(x) for x in ("page", "volume", "issue", "year", "doi")] + [pa.array(size.astype(np.int32)), registers, pa.array(first.view(np.int64))]
     names = [x.split()[0] for x in PREPARED.split(", ")][:-1]
     if "title_hash" in batch.schema.names:
-        cols += [batch.column(x) for x in ("date_code", "sources", "title_hash")] + [pa.array([evident_damage(t) for t in c["title"]], pa.bool_())]
+        cols += [batch.column(x) for x in ("date_code", "source", "rank", "title_hash")] + [pa.array([evident_damage(t) for t in c["title"]], pa.bool_())]
         names += [x.split()[0] for x in EXTRA.split(", ")]
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def prepare(records: DataFrame, survivor: bool = False) -> DataFrame:
-    """One row a row of ``records``: folded fields and sketch. A null id gives no row. survivor: with the columns ``EXTRA``."""
+def prepare(records: DataFrame, rank: Column | None = None) -> DataFrame:
+    """One row a row of ``records``: folded fields and sketch. A null id gives no row. rank: of a record's sources; given, the columns ``EXTRA`` come too."""
     date = "get(issued.date_parts, 0)"
     # a date that is impossible in a part of it says nothing at all
     plausible = f"get({date}, 0) between {EARLIEST} and {LATEST} and coalesce(get({date}, 1) between 1 and 12, true) and coalesce(get({date}, 2) between 1 and 31, true)"
@@ -138,10 +138,10 @@ def prepare(records: DataFrame, survivor: bool = False) -> DataFrame:
         _number("page").alias("page"), _number("volume").alias("volume"), _number("issue").alias("issue"),
         F.expr(f"if({plausible}, get({date}, 0), -1)").alias("year"),
         F.coalesce(F.xxhash64(F.nullif(doi, F.lit(""))) * F.when(doi != "", 1), F.lit(0)).alias("doi"),
-        *([] if not survivor else [
+        *([] if rank is None else [
             # year, month and day in one number; 99 stands for an unknown part
             F.expr(f"coalesce(get({date}, 0) * 10000 + coalesce(get({date}, 1), 99) * 100 + if(get({date}, 1) is null, 99, coalesce(get({date}, 2), 99)), -1)").alias("date_code"),
-            F.expr("array_join(array_distinct(filter(meta.sources.db_name, x -> x is not null)), '\u001f')").alias("sources"),
+            F.expr("coalesce(get(meta.sources, 0).db_name, get(meta.sources, 1).db_name)").alias("source"), rank.alias("rank"),
             F.xxhash64(F.trim("title")).alias("title_hash"),
         ]),
     )
@@ -149,15 +149,15 @@ def prepare(records: DataFrame, survivor: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (_prepared(batch) for batch in batches if batch.num_rows)
 
-    mapped = rows.mapInArrow(run, PREPARED.removesuffix(", content bigint") + (", " + EXTRA if survivor else ""))
+    mapped = rows.mapInArrow(run, PREPARED.removesuffix(", content bigint") + (", " + EXTRA if rank is not None else ""))
     return mapped.withColumn("content", F.xxhash64("words", "families", "journal", "page", "volume", "issue", "year", "doi"))
 
 
 def first_of_same(prepared: DataFrame, rows: int) -> DataFrame:
-    """(a, b): every row with the first one that has its DOI, its id, or equals it in all compared fields."""
+    """(a, b): every row with the first one that has its DOI, its id, or equals it in all compared fields; once for each of these."""
     keys = prepared.select("rid", F.explode(F.array("doi", "content", F.xxhash64("id"))).alias("key")).where("key <> 0")
     first = keys.groupBy("key").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return join_one(keys, first, "key", "n", HOT_LEAST, 3 * rows).where("rid > a").select("a", F.col("rid").alias("b")).distinct()
+    return join_one(keys, first, "key", "n", HOT_LEAST, 3 * rows).where("rid > a").select("a", F.col("rid").alias("b"))
 
 
 #: Whether a row has fields enough that :func:`_one_publication` could accept it with anything; what it accepts with another row it accepts with a copy of itself.
@@ -166,7 +166,7 @@ TAKES_PART = f"""size > 0 and (page >= 0 and (families <> '' or volume >= 0 or i
 
 
 def candidates(prepared: DataFrame, rows: int) -> DataFrame:
-    """Distinct pairs (a < b) of row numbers that share a band key and do not clash in a known page, volume, issue or DOI, or by more than one year.
+    """Pairs (a < b) of row numbers, once for each band key that they share, that do not clash in a known page, volume, issue or DOI, or by more than one year.
 
     Rows that nothing could be accepted with stay out. Of rows equal in all compared fields a task lets the first of each batch take part, and of
     those met several times none in later batches, so that a group of copies, however large, sends few rows to its buckets. Nothing is lost by it: copies that take part are
@@ -204,7 +204,8 @@ def candidates(prepared: DataFrame, rows: int) -> DataFrame:
     field = {n: [f"(shiftright(k{k}, {shift}) & {(1 << bits) - 1})" for k in "ab"] for n, shift, bits in KNOWN}
     agree = " and ".join(f"({p} = {q} or {p} = 0 or {q} = 0)" for n, (p, q) in field.items() if n != "year")
     p, q = field["year"]
-    return x.join(y, "key").where(f"a < b and {agree} and (abs({p} - {q}) <= 1 or {p} = 0 or {q} = 0)").select("a", "b").distinct()
+    # a hash table of one partition of keys spares both sides a sort; hot keys were split above
+    return x.join(y.hint("shuffle_hash"), "key").where(f"a < b and {agree} and (abs({p} - {q}) <= 1 or {p} = 0 or {q} = 0)").select("a", "b")
 
 
 SIDE = ["words", "families", "journal", "page", "volume", "issue", "year", "doi", "size", "registers"]
@@ -281,7 +282,7 @@ def linked_rows(prepared: DataFrame, rows: int, ws: Workspace) -> DataFrame:
     """``(rid, group)`` of every row of ``prepared`` (so many rows) that is linked to another one."""
     with ws.tidy():
         found = candidates(prepared, rows)
-    pairs = ws.write(found.unionByName(first_of_same(prepared, rows)), "pairs")
+    pairs = ws.write(found.unionByName(first_of_same(prepared, rows)).distinct(), "pairs")
     links = ws.write(verified(prepared, pairs), "links")
     ws.drop(pairs)
     groups = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), ws)

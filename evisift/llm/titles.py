@@ -8,8 +8,10 @@ import unicodedata
 from functools import lru_cache
 
 _TAG = re.compile(r"<[^<>]{1,40}>")
-_OTHER = re.compile(r"[^a-z0-9]+")
 _NO_LETTER = re.compile(r"[\W_]+")
+#: ASCII letters in lower case and digits; all else becomes a space.
+_ASCII = {k: chr(k).lower() if chr(k).isalnum() else " " for k in range(128)}
+_MARKS_ON_LETTERS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _BAD = re.compile(r"[â€Ã�]")
 _JOINED = re.compile(r"(?<=[a-z])['’](?=[a-z])")
 #: What aggregators put behind a title.
@@ -36,13 +38,14 @@ _NUMBERS = {"one": "1", "two": "2", "three": "3", "four": "4", "i": "1", "ii": "
 @lru_cache(200_000)
 def fold(text: str) -> str:
     """The words of a name in lower case, without accents; letters of other scripts stay."""
-    return _OTHER.sub(" ", text.lower()).strip() if text.isascii() else _plain(repair(text))
+    return " ".join(text.translate(_ASCII).split()) if text.isascii() else _plain(repair(text))
 
 
 def _plain(text: str) -> str:
     """The same for a text that is not ASCII: compatibility forms are opened, marks on letters left out."""
     t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).lower())
-    return _NO_LETTER.sub(" ", "".join(c for c in t if not unicodedata.combining(c))).strip()
+    t = _MARKS_ON_LETTERS.sub("", t)
+    return _NO_LETTER.sub(" ", t).strip()
 
 
 def repair(text: str) -> str:
@@ -72,7 +75,7 @@ def normal(title: str | None) -> str:
         t = _JOINED.sub("", t)
     if t.endswith(("]", ")", "available", "available.", "online")):
         t = _NOISE.sub("", t)
-    return _OTHER.sub(" ", t).strip() if t.isascii() else _plain(t)
+    return " ".join(t.translate(_ASCII).split()) if t.isascii() else _plain(t)
 
 
 def marks(words: str) -> str:
@@ -90,6 +93,15 @@ def close(a: str, b: str, most: int) -> bool:
     """Edit distance (with swaps of neighbours) of at most ``most``."""
     if abs(len(a) - len(b)) > most:
         return False
+    k, end = 0, min(len(a), len(b))
+    while k < end and a[k] == b[k]:
+        k += 1
+    n = 0
+    while n < end - k and a[-1 - n] == b[-1 - n]:
+        n += 1
+    a, b = a[k : len(a) - n], b[k : len(b) - n]
+    if len(a) <= 1 and len(b) <= 1 or not a or not b:
+        return max(len(a), len(b)) <= most
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]

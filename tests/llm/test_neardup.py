@@ -128,10 +128,10 @@ def _variants(n=60):
 def test_registers_and_estimate_decide(spark):
     """Ablation: with registers that say nothing of the title hardly a pair shares a band, and the estimate lets none through."""
     prepared = spark.createDataFrame(neardup.prepare(spark.createDataFrame(_variants(), SCHEMA)).collect(), neardup.PREPARED)
-    found = neardup.candidates(prepared, 180)
+    found = neardup.candidates(prepared, 180).distinct()
     links = neardup.verified(prepared, found)
     noise = prepared.withColumn("registers", F.unhex(F.sha2(F.col("id"), 256)))
-    assert links.count() >= 170 and neardup.candidates(noise, 180).count() < 0.1 * found.count()
+    assert links.count() >= 170 and neardup.candidates(noise, 180).distinct().count() < 0.1 * found.count()
     assert neardup.verified(noise, found).count() < 0.2 * links.count()
 
 

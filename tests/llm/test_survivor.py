@@ -2,9 +2,10 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evisift.llm import survivor
-from evisift.llm.survivor import CLAIMS, MORE, OTHER, PART, SAME, Model, date_kind, fuse, fused_values, pattern_of, survivors, title_kind
+from evisift.llm.survivor import CLAIMS, MORE, OTHER, PART, SAME, Model, date_kind, fuse, fused_values, pattern_of, survivors, title_kind, title_kinds
 from tests.llm.test_neardup import BASE, SCHEMA, record
 
 AM = "event_id string, record_id string, field string, new_value string, ts timestamp, id string"
@@ -49,8 +50,8 @@ def test_empty(spark):
 def _claims(spark, rows):
     out = []
     for k, values in rows:
-        pattern, titles = pattern_of([(2 * s, v) for s, v in enumerate(values)], lambda a, b: SAME if a == b else OTHER)
-        out.append((k, "|".join(",".join(map(str, x)) for x in pattern), titles, None, None))
+        pattern, titles = pattern_of([(f"t{s}", v) for s, v in enumerate(values)], lambda a, b: (OTHER, OTHER))
+        out.append((k, "|".join(",".join(map(str, x)) for x in pattern), titles, None, None, [], []))
     return spark.createDataFrame(out, CLAIMS)
 
 
@@ -64,12 +65,12 @@ def test_copied_votes_count_less(spark, monkeypatch):
         rows.append((k, [*own, s2, s2 if rng.random() < 0.95 else "t"]))
     claims = _claims(spark, rows)
     m = fuse(claims, rounds=4)
-    honest = [m.copies.get((s, t), 0) for s in (0, 2, 4, 6) for t in (0, 2, 4, 6) if s < t]
-    assert m.copies[8, 10] > 0.9 > 0.5 > max(honest) and min(m.accuracy[s] for s in (0, 2, 4, 6)) > m.accuracy[8]
+    honest = [m.copies.get((f"t{s}", f"t{t}"), 0) for s in range(4) for t in range(s + 1, 4)]
+    assert m.copies["t4", "t5"] > 0.9 > 0.5 > max(honest) and min(m.accuracy[f"t{s}"] for s in range(4)) > m.accuracy["t4"]
     monkeypatch.setattr(survivor, "PATTERNS_MOST", 3)
     other = fuse(claims, rounds=4)
     assert other.accuracy == pytest.approx(m.accuracy) and other.copies == pytest.approx(m.copies)
-    pattern, values = pattern_of([(0, "t"), (8, "f1"), (10, "f1")], lambda a, b: SAME if a == b else OTHER)
+    pattern, values = pattern_of([("t0", "t"), ("t4", "f1"), ("t5", "f1")], lambda a, b: (OTHER, OTHER))
     p = dict(zip(values, m.posterior(pattern)))
     m.copies = {}
     free = dict(zip(values, m.posterior(pattern)))
@@ -77,7 +78,7 @@ def test_copied_votes_count_less(spark, monkeypatch):
 
 
 def test_plain_posterior():
-    assert Model().posterior(pattern_of([(0, "x"), (2, "x")], title_kind)[0])[0] > 0.99
+    assert Model().posterior(pattern_of([("t0", "x"), ("t1", "x")], title_kinds)[0])[0] > 0.99
 
 
 def test_kinds():
@@ -91,7 +92,7 @@ def test_kinds():
 def test_a_cut_title_of_the_best_source_loses_by_the_fusion(spark, monkeypatch):
     rows = [record("a", BASE[:52], db=("m",), date=(2010,)), record("b", BASE, db=("n",), date=(2010, 3)), record("c", BASE + ".", db=("o",), date=(2011, 4, 1))]
     assert run(spark, rows)["a"] == ("b", "c")
-    monkeypatch.setattr(survivor, "fused_values", lambda c, m: fused_values(c, m).selectExpr("group", "cast(null as string) title", "cast(null as int) date", "cast(null as int) year"))
+    monkeypatch.setattr(survivor, "fused_values", lambda c, m: fused_values(c, m).selectExpr("group", "cast(null as string) title", "cast(null as int) date", "cast(null as int) year", "cast(array() as array<bigint>) carried", "cast(array() as array<bigint>) other"))
     assert run(spark, rows)["a"][0] == "a"  # without the fused title nothing tells that it is cut
 
 
@@ -99,3 +100,8 @@ def test_many_sources(spark):
     """Each database keeps its own accuracy, however many there are."""
     rows = [record(f"r{k:03d}", BASE, db=(f"db{k:03d}",), date=(2010, 1, k % 28 + 1)) for k in range(260)]
     assert run(spark, rows)["r000"][0] == "r000"
+
+
+@pytest.mark.parametrize("text", ["", "a", "effect of light boxes on sleep quality in adults with migraine", "влияние света 光"])
+def test_hash_is_sparks(spark, text):
+    assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] == survivor._hash(text)
