@@ -173,9 +173,7 @@ def alias_resolve(spark, d):
     """Each order number's last alias, where n stands for n / 2 down to an odd number: chains of pointers, doubled until they end."""
     e = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).where("id > 0").distinct()
     hop = e.select("id", F.when(F.col("id") % 2 == 0, (F.col("id") / 2).cast("bigint")).otherwise(F.col("id")).alias("to"))
-    for _ in range(5):  # chains of up to 2 ** 5 steps
-        hop = hop.join(hop.select(F.col("id").alias("to"), F.col("to").alias("end")), "to", "left").select("id", F.coalesce("end", "to").alias("to"))
-    return hop.select("id", F.col("to").alias("canonical"))
+    return linkage.chain_ends(hop).select("id", F.col("to").alias("canonical"))
 
 
 def amendment_fold(spark, d):
@@ -195,7 +193,7 @@ def merged_keywords(spark, d):
 
 
 def _origin():
-    return F.when(F.exists("meta.sources", lambda s: s["via"].isNull() | (s["via"] == "") | (s["via"] == "search")), "searches").otherwise(F.expr("get(meta.sources, 0).via"))
+    return F.when(F.exists("meta.sources", lambda s: s["via"].isNull() | (s["via"] == "") | (s["via"] == "search")), "searches").otherwise(F.coalesce(F.expr("get(meta.sources, 0).via"), F.lit("searches")))
 
 
 def record_origin(spark, d):
@@ -205,8 +203,8 @@ def record_origin(spark, d):
 def funnel_counts(spark, d):
     """Identified, with and without identifiers, per origin and in total."""
     r = table(spark, d, "records").select("id", _origin().alias("origin"), "doi", "abstract", "title")
-    g = r.rollup("origin").agg(F.count(F.lit(1)).alias("rows_read"), F.count_distinct("id").alias("identified"), F.count_distinct(F.when(F.col("doi").isNotNull(), F.col("id"))).alias("with_doi"), F.count_distinct(F.when(F.col("title").isNull(), F.col("id"))).alias("rejected"))
-    return g.select(F.coalesce("origin", F.lit("total")).alias("origin"), "rows_read", "identified", (F.col("rows_read") - F.col("identified")).alias("duplicates"), "with_doi", "rejected")
+    g = r.rollup("origin").agg(F.grouping_id().alias("whole"), F.count(F.lit(1)).alias("rows_read"), F.count_distinct("id").alias("identified"), F.count_distinct(F.when(F.col("doi").isNotNull(), F.col("id"))).alias("with_doi"), F.count_distinct(F.when(F.col("title").isNull(), F.col("id"))).alias("rejected"))
+    return g.select(F.when(F.col("whole") == 1, "total").otherwise(F.col("origin")).alias("origin"), "rows_read", "identified", (F.col("rows_read") - F.col("identified")).alias("duplicates"), "with_doi", "rejected")
 
 
 def funnel_identities(spark, d):
@@ -350,7 +348,7 @@ def _num(c: str) -> str:
 
 
 _YEAR = "issued.date_parts[1][1]"
-_ORIGIN = "CASE WHEN len([s for s in meta.sources if s.via IS NULL OR s.via IN ('', 'search')]) > 0 THEN 'searches' ELSE meta.sources[1].via END"
+_ORIGIN = "CASE WHEN len([s for s in meta.sources if s.via IS NULL OR s.via IN ('', 'search')]) > 0 THEN 'searches' ELSE coalesce(meta.sources[1].via, 'searches') END"
 _K = f"""k AS (SELECT id, {_title('title')} AS title, [{_family("coalesce(a.family, a.literal, '')")} for a in coalesce(author, [])] AS authors, {_YEAR} AS year, {_journal('container_title')} AS journal, volume, {_num('page')} AS page,
   {_doi('doi')} AS doi, nullif(trim(pmid), '') AS pmid, coalesce(list_contains(meta.flags, 'best-effort-parse'), false) AS best_effort,
   (doi IS NOT NULL)::INT + (abstract IS NOT NULL)::INT + (len(coalesce(author, [])) > 0)::INT + (page IS NOT NULL)::INT AS complete FROM r WHERE id IS NOT NULL)"""

@@ -121,6 +121,10 @@ QUERIES = {
 
 _ONE = rec._R
 ORACLE = {
+    "study_map": """WITH m AS (SELECT DISTINCT run_id, started_at AS ts, n, trim(m.record_a) AS a, trim(m.record_b) AS b FROM (SELECT run_id, started_at, unnest(auto_merged) AS m, generate_subscripts(auto_merged, 1) - 1 AS n FROM dedup_runs)),
+      g AS (SELECT 'std_' || a AS study, (ts, run_id || ':' || n) AS o, a, b FROM m WHERE a <> '' AND b <> '' AND a <> b), named AS (SELECT a AS report, study, o FROM g UNION ALL SELECT b, study, o FROM g),
+      mine AS (SELECT report, arg_max(study, o) AS study, max(o) AS o FROM named GROUP BY report), last AS (SELECT study, max(o) AS last FROM g GROUP BY study)
+      SELECT r.id AS report, CASE WHEN last <= o THEN mine.study ELSE 'std_' || regexp_replace(r.id, '^rpt_', '') END AS study FROM (SELECT DISTINCT id FROM records WHERE id IS NOT NULL) r LEFT JOIN mine ON mine.report = r.id LEFT JOIN last USING (study)""",
     "flow_rows": scr._STATE + """, r AS (SELECT count(*) AS n, count(DISTINCT id) AS u FROM records) SELECT 'identified' AS data, n FROM r UNION ALL SELECT 'duplicates', n - u FROM r
       UNION ALL SELECT 'screened', count(*) FROM st WHERE stage = 'title-abstract' UNION ALL SELECT 'excluded_on_title', count(*) FROM st WHERE stage = 'title-abstract' AND status = 'exclude'
       UNION ALL SELECT 'assessed', count(*) FROM st WHERE stage = 'full-text' UNION ALL SELECT 'excluded_on_text', count(*) FROM st WHERE stage = 'full-text' AND status = 'exclude'

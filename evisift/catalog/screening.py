@@ -23,8 +23,13 @@ _EXTRA = "(VALUES ('c3', 'edited', 'tightened', 5, ['title-abstract'])) AS ch(cr
 CUT = "2023-01-01"
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """The log as it is: repeated rows change nothing in a fold, so nothing is shuffled to leave them out."""
+    return table(spark, d, "screen_log").select("id", "ev", "ts", "actor", "stage", "record_id", "decision", "criteria", "criteria_version")
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return folds.once(table(spark, d, "screen_log").select("id", "ev", "ts", "actor", "stage", "record_id", "decision", "criteria", "criteria_version"))
+    return folds.once(_rows(spark, d))
 
 
 def _changes(spark: SparkSession, extra: bool = False) -> DataFrame:
@@ -37,11 +42,11 @@ def _assigned(log: DataFrame) -> DataFrame:
 
 
 def fold_last_write(spark, d):
-    return folds.last_write(_log(spark, d).where("ev = 'screen'").select("stage", "record_id", "actor", "decision", "ts", "id"), ["stage", "record_id", "actor"])
+    return folds.last_write(_rows(spark, d).where("ev = 'screen'").select("stage", "record_id", "actor", "decision", "ts", "id"), ["stage", "record_id", "actor"])
 
 
 def fold_first_write(spark, d):
-    return folds.first_write(_log(spark, d).where("ev = 'screen'").select("stage", "record_id", "actor", "decision", "ts", "id"), ["stage", "record_id", "actor"])
+    return folds.first_write(_rows(spark, d).where("ev = 'screen'").select("stage", "record_id", "actor", "decision", "ts", "id"), ["stage", "record_id", "actor"])
 
 
 def event_dedup(spark, d):
@@ -68,47 +73,47 @@ def hash_chain_check(spark, d):
 
 
 def screening_state(spark, d):
-    log = _log(spark, d)
+    log = _rows(spark, d)
     return screening.states(log, _assigned(log))
 
 
 def stage_status_counts(spark, d):
-    log = _log(spark, d)
+    log = _rows(spark, d)
     return screening.status_counts(screening.states(log, _assigned(log)))
 
 
 def conflicts_view(spark, d):
-    log = _log(spark, d)
+    log = _rows(spark, d)
     return screening.conflicts(log, _assigned(log))
 
 
 def screening_queue(spark, d):
-    log = _log(spark, d)
+    log = _rows(spark, d)
     everyone = log.where("ev = 'screen'").select("stage", "record_id").distinct().withColumn("actor", F.lit("rev-001"))
     return screening.queue(log, everyone, "rev-001")
 
 
 def irr_pairs(spark, d):
-    return screening.agreement(_log(spark, d))
+    return screening.agreement(_rows(spark, d))
 
 
 def included_reports(spark, d):
-    log = _log(spark, d)
+    log = _rows(spark, d)
     return screening.included_reports(screening.states(log, _assigned(log)))
 
 
 def stale_decisions(spark, d):
-    return screening.stale_with_upstream(_log(spark, d), _changes(spark), 4)
+    return screening.stale_with_upstream(_rows(spark, d), _changes(spark), 4)
 
 
 def stale_preview(spark, d):
-    log = _log(spark, d)
+    log = _rows(spark, d)
     before, after = screening.stale_with_upstream(log, _changes(spark), 4), screening.stale_with_upstream(log, _changes(spark, True), 5)
     return after.select("stage", "record_id").subtract(before.select("stage", "record_id"))
 
 
 def stale_asof(spark, d):
-    return screening.stale(screening.resolved(folds.as_of(_log(spark, d), CUT)), _changes(spark), 3)
+    return screening.stale(screening.resolved(folds.as_of(_rows(spark, d), CUT)), _changes(spark), 3)
 
 
 def stale_counts(spark, d):
@@ -126,7 +131,7 @@ def criteria_diff(spark, d):
 
 def amendment_impact(spark, d):
     """Of each change: decisions it made stale, and of these: taken again with the same or with another result."""
-    log = _log(spark, d)
+    log = _rows(spark, d)
     before = screening.resolved(folds.as_of(log, CUT))
     s = screening.stale(before, _changes(spark), 4).select("stage", "record_id")
     now = screening.resolved(log).select("stage", "record_id", F.col("decision").alias("now"), F.col("version").alias("now_version"))
@@ -140,7 +145,7 @@ def amendment_impact(spark, d):
 
 def pool_view(spark, d):
     """Records that a filter keeps, with their states at both stages; by record."""
-    log = _log(spark, d)
+    log = _rows(spark, d)
     s = screening.states(log, _assigned(log))
     per = s.groupBy("record_id").agg(F.max(F.when(F.col("stage") == "title-abstract", F.col("status"))).alias("tiab"), F.max(F.when(F.col("stage") == "full-text", F.col("status"))).alias("fulltext"))
     r = table(spark, d, "records").select("id", "title", F.expr("get(get(issued.date_parts, 0), 0)").alias("year"), F.expr("get(author, 0).family").alias("first_author"), "lang").dropDuplicates(["id"])
@@ -152,8 +157,8 @@ def pool_view(spark, d):
 
 
 def audit_excludes(spark, d):
-    """Standing excludes without an adjudication: one in five, by hash of seed and key."""
-    log = _log(spark, d)
+    """Standing excludes without an adjudication: a sample of fifty, in the order of a hash of seed and key."""
+    log = _rows(spark, d)
     s = screening.states(log, _assigned(log)).where("status = 'exclude'").select("stage", "record_id")
     rest = s.join(screening.adjudications(log).select("stage", "record_id"), ["stage", "record_id"], "left_anti")
     return rest.orderBy(F.md5(F.concat_ws("|", F.lit("42"), "stage", "record_id")), "record_id").limit(50)
@@ -161,7 +166,7 @@ def audit_excludes(spark, d):
 
 def asof_join(spark, d):
     """The last opinion given on an item before each of its adjudications."""
-    log = _log(spark, d)
+    log = _rows(spark, d)
     a = log.where("ev = 'adjudicate'").select("stage", "record_id", F.col("id").alias("adj_id"), F.col("ts").alias("adj_ts"))
     o = log.where("ev = 'screen'").select("stage", "record_id", "actor", "decision", "ts", "id")
     j = a.join(o, ["stage", "record_id"]).where("ts < adj_ts")
@@ -170,7 +175,7 @@ def asof_join(spark, d):
 
 def range_join(spark, d):
     """Opinions and the changes of criteria made since at their stage."""
-    o = screening.opinions(_log(spark, d)).select("stage", "record_id", "actor", "criteria_version")
+    o = screening.opinions(_rows(spark, d)).select("stage", "record_id", "actor", "criteria_version")
     c = _changes(spark).select("criterion", "to_version", "stages")
     return o.join(c, (F.col("to_version") > F.col("criteria_version")) & F.expr("array_contains(stages, stage)")).groupBy("stage", "criterion").agg(F.count(F.lit(1)).alias("n"))
 
@@ -181,14 +186,14 @@ def containment_join(spark, d):
 
 def compare_reviewers(spark, d):
     """Two reviewers' opinions side by side, whichever of them has one."""
-    o = screening.opinions(_log(spark, d)).select("stage", "record_id", "actor", "decision")
+    o = screening.opinions(_rows(spark, d)).select("stage", "record_id", "actor", "decision")
     a, b = o.where("actor = 'rev-001'").select("stage", "record_id", F.col("decision").alias("a")), o.where("actor = 'rev-002'").select("stage", "record_id", F.col("decision").alias("b"))
     return a.join(b, ["stage", "record_id"], "full").select("stage", "record_id", "a", "b", F.col("a").eqNullSafe(F.col("b")).alias("agree"))
 
 
 def snapshot_diff(spark, d):
     """Items that entered and left the included pool between two times."""
-    log = _log(spark, d)
+    log = _rows(spark, d)
     state = lambda x: screening.resolved(x).where("decision = 'include'").select("stage", "record_id")
     was, now = state(folds.as_of(log, CUT)), state(log)
     return now.subtract(was).withColumn("change", F.lit("entered")).unionByName(was.subtract(now).withColumn("change", F.lit("left")))
@@ -286,8 +291,8 @@ def _resolved(name: str, log: str) -> str:
 
 def _stale(name: str, decided: str, changes: str, current: int) -> str:
     return f"""{name} AS (SELECT stage, record_id, arg_min(reason, (r, reason)) AS reason, array_to_string(list_sort(list(DISTINCT criterion)), ',') AS causes FROM (
-      SELECT z.stage, z.record_id, c.criterion, CASE WHEN c.d = 'both' THEN 0 WHEN c.kind IN ('added', 'retired') THEN 1 ELSE 2 END AS r,
-        CASE WHEN c.d = 'both' THEN 'criterion-changed' WHEN c.kind = 'added' THEN 'criterion-added' WHEN c.kind = 'retired' THEN 'criterion-retired' ELSE 'criterion-' || c.d END AS reason
+      SELECT z.stage, z.record_id, c.criterion, CASE WHEN z.decision = 'maybe' THEN 0 WHEN c.d = 'both' THEN 1 WHEN z.decision = 'include' AND c.kind = 'added' OR z.decision = 'exclude' AND c.kind = 'retired' THEN 2 ELSE 3 END AS r,
+        CASE r WHEN 0 THEN 'maybe-any-change' WHEN 1 THEN 'criterion-both' WHEN 2 THEN 'criterion-' || c.kind ELSE if(z.decision = 'include', 'criterion-tightened', 'criterion-loosened') END AS reason
       FROM {decided} z JOIN (SELECT *, CASE WHEN kind = 'added' THEN 'tightened' WHEN kind = 'retired' THEN 'loosened' ELSE direction END AS d FROM {changes}) c
         ON c.d <> 'editorial' AND c.to_version <= {current} AND c.to_version > z.version AND list_contains(c.stages, z.stage)
         AND ((z.decision = 'include' AND c.d IN ('tightened', 'both')) OR (z.decision = 'exclude' AND c.d IN ('loosened', 'both') AND list_contains(z.cited, c.criterion)) OR z.decision = 'maybe'))

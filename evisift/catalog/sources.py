@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evisift.catalog import records as rec
 from evisift.functions import text
 from evisift.sources import readers
 from evisift.session import table
@@ -65,6 +66,8 @@ QUERIES = {f.__name__: f for f in (roundtrip_ris, import_manifest, canonical_jso
 
 _R = "r AS (SELECT DISTINCT ON (id) * FROM records)"
 ORACLE = {
+    "import_manifest": f"""WITH r AS (SELECT DISTINCT ON (id) id, title, {rec._doi('doi')} AS key, right(id, 1) < 'g' AS half FROM records), p AS (SELECT * FROM r WHERE half), k AS (SELECT DISTINCT key FROM p WHERE key IS NOT NULL AND trim(coalesce(title, '')) <> '')
+      SELECT CASE WHEN key IN (SELECT key FROM r WHERE NOT half AND key IS NOT NULL) THEN 'append' ELSE 'add' END AS action, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'read', count(*) FROM p UNION ALL SELECT 'rejected', count(*) FILTER (trim(coalesce(title, '')) = '') FROM p""",
     "roundtrip_ris": f"WITH {_R} SELECT id, container_title AS journal, nullif(volume, '') AS volume, nullif(page, '') AS page, nullif(doi, '') AS doi, CAST(coalesce(len([a for a in author if coalesce(a.family, a.literal) IS NOT NULL]), 0) AS INT) AS n_authors FROM r WHERE trim(coalesce(title, '')) <> ''",
     "canonical_json": "SELECT '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS json FROM nation",
     "json_props": "SELECT event_type, count(CAST(json_extract(props, '$.k') AS INT)) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total FROM events GROUP BY event_type",

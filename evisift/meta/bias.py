@@ -53,18 +53,31 @@ def kendall(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
     return s, float(s / math.sqrt(nx * ny)) if nx and ny else 0.0
 
 
+def _kendall_variance(x: np.ndarray, y: np.ndarray) -> float:
+    """Variance of the score under independence, with ties in either variable (Kendall 1970)."""
+    n = len(x)
+    t, u = (np.unique(c, return_counts=True)[1].astype(float) for c in (x, y))
+    tied = sum((c * (c - 1) * (2 * c + 5)).sum() for c in (t, u))
+    second = (t * (t - 1)).sum() * (u * (u - 1)).sum() / (2 * n * (n - 1))
+    third = (t * (t - 1) * (t - 2)).sum() * (u * (u - 1) * (u - 2)).sum() / (9 * n * (n - 1) * (n - 2))
+    return (n * (n - 1) * (2 * n + 5) - tied) / 18 + second + third
+
+
 def begg(y: np.ndarray, v: np.ndarray) -> dict[str, float]:
     """Rank correlation of standardised effects with their variances."""
     w = 1 / v
     theta = (w * y).sum() / w.sum()
-    z = (y - theta) / np.sqrt(v - 1 / w.sum())
+    left = v - 1 / w.sum()
+    if (left <= 0).any():
+        raise ValueError("a variance is no larger than that of the mean: effects cannot be standardised")
+    z = (y - theta) / np.sqrt(left)
     s, tau = kendall(z, v)
     n = len(y)
     ties = len(set(z.tolist())) < n or len(set(v.tolist())) < n
     if not ties and n <= 200:
         p = dist.kendall_exact_p(s, n)
     else:
-        p = dist.two_sided_z(s / math.sqrt(n * (n - 1) * (2 * n + 5) / 18))
+        p = dist.two_sided_z(s / math.sqrt(_kendall_variance(z, v)))
     return {"tau": tau, "p": p}
 
 
@@ -124,7 +137,8 @@ def influence(y: np.ndarray, v: np.ndarray, how: str = "REML") -> list[dict[str,
         r = float((y[i] - f.b[0]) / math.sqrt(var))
         dffits = shift / math.sqrt(hat[i] * (f.tau2 + v[i])) if hat[i] > 0 else 0.0
         cook, cov = shift * shift / whole.vb[0, 0], f.vb[0, 0] / whole.vb[0, 0]
-        dfb = shift / math.sqrt(f.vb[0, 0])
+        # the scale is the variance that all studies would give at the tau2 found without this one
+        dfb = shift * math.sqrt((1 / (v + f.tau2)).sum())
         flag = abs(r) > 1.96 or cook > 0.45 or hat[i] > 3 / len(y)
         out.append({"rstudent": r, "dffits": dffits, "cook": cook, "cov_ratio": cov, "tau2_del": f.tau2, "q_del": f.q, "hat": float(hat[i]), "weight": float(100 * hat[i]), "dfbetas": dfb, "flag": float(flag)})
     return out

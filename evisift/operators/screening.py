@@ -109,6 +109,7 @@ def stale(decided: DataFrame, changes: DataFrame, current: int) -> DataFrame:
 
     decided: stage, record_id, decision, cited (array), version. changes (a few rows; broadcast after Spark has checked their size): criterion, kind,
     direction, to_version, stages (array). An include is touched by tightening, an exclude by loosening of a criterion it cites, a maybe by any but editorial changes.
+    Of several reasons the one of a change in both directions comes first, then that of an added (include) or retired (exclude) criterion; a maybe's is always 'maybe-any-change'.
     """
     c = changes.select("criterion", "kind", effective_direction(F.col("kind"), F.col("direction")).alias("d"), "to_version", "stages").where((F.col("to_version") <= current) & (F.col("d") != "editorial"))
     hit = (
@@ -117,8 +118,12 @@ def stale(decided: DataFrame, changes: DataFrame, current: int) -> DataFrame:
         | (F.col("decision") == "maybe")
     )
     j = decided.join(c, (F.col("to_version") > F.col("version")) & F.expr("array_contains(stages, stage)") & hit)
-    rank = F.when(F.col("d") == "both", 0).when(F.col("kind").isin("added", "retired"), 1).otherwise(2)
-    name = F.when(F.col("d") == "both", "criterion-changed").when(F.col("kind") == "added", "criterion-added").when(F.col("kind") == "retired", "criterion-retired").otherwise(F.concat(F.lit("criterion-"), F.col("d")))
+    origin = F.when(F.col("decision") == "include", F.col("kind") == "added").otherwise(F.col("kind") == "retired")
+    rank = F.when(F.col("d") == "both", 0).when(origin, 1).otherwise(2)
+    name = (
+        F.when(F.col("decision") == "maybe", "maybe-any-change").when(F.col("d") == "both", "criterion-both")
+        .when(origin, F.concat(F.lit("criterion-"), F.col("kind"))).otherwise(F.when(F.col("decision") == "include", "criterion-tightened").otherwise("criterion-loosened"))
+    )
     g = j.groupBy("stage", "record_id").agg(F.min(F.struct(rank.alias("r"), name.alias("reason"))).alias("x"), F.array_join(F.array_sort(F.collect_set("criterion")), ",").alias("causes"))
     return g.select("stage", "record_id", F.col("x.reason").alias("reason"), "causes")
 

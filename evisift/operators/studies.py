@@ -2,61 +2,39 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evisift.operators.linkage import cluster
 
 
-def replay(events: pd.DataFrame, reports: set[str]) -> dict[str, set[str]]:
-    """Studies of each report after group and split events in order.
-
-    Every report starts as its own study (named after it). A group gives its reports the study; members not named leave it and fall back to what is left or
-    to themselves. A split gives its report exactly its studies, and the report remembers them as siblings. Events about other reports are ignored.
-    """
-    own = lambda r: "std_" + r.removeprefix("rpt_")
-    of = {r: {own(r)} for r in reports}
-    split: dict[str, set[str]] = {}
-    for e in events.sort_values(["ts", "id"]).itertuples():
-        if e.ev == "study-group":
-            named = set(e.reports) & reports
-            for r, studies in of.items():
-                if e.study in studies and r not in named:
-                    studies.discard(e.study)
-                    if not studies:
-                        studies.add(own(r))
-            for r in named:
-                keep = split.get(r, set())
-                if e.study in keep:
-                    of[r] = {e.study} | keep
-                else:
-                    of[r] = {e.study}
-                    split.pop(r, None)
-        elif e.ev == "study-split" and e.report in reports:
-            of[e.report] = set(e.studies)
-            split[e.report] = set(e.studies)
-    return of
-
-
 def study_map(events: DataFrame, reports: DataFrame) -> DataFrame:
-    """``(report, study)`` after all events. Events that share no report or study do not touch each other, so components are replayed side by side.
+    """``(report, study)`` after all events, in the order of (ts, id).
 
-    events: ev, id, ts, study, reports, report, studies; reports: report.
+    events: ev ('study-group' with study and reports, 'study-split' with report and studies), id, ts; repeated ids count once. reports: report. A report is alone
+    in a study named after it until an event names it. What holds for a report follows from its last split and what came later: as long as it is named only for
+    studies of that split that have not been regrouped without it, it keeps what is left of the split; once it is named for any other study, it belongs to the study it
+    was named for last, unless that study was regrouped without it since. With nothing left it is alone again. Events about other reports are ignored; null names nothing.
     """
-    touched = events.select("id", F.explode(F.array_union(F.array_union(F.coalesce("reports", F.array()), F.coalesce("studies", F.array())), F.array_compact(F.array("study", "report")))).alias("x"))
-    comp = cluster(touched.select(F.concat(F.lit("e:"), F.col("id")).alias("a"), F.concat(F.lit("x:"), F.col("x")).alias("b")))
-    ev = events.join(comp.where("id like 'e:%'").select(F.expr("substr(id, 3)").alias("id"), "cluster"), "id")
-    rep = reports.join(comp.where("id like 'x:%'").select(F.expr("substr(id, 3)").alias("report"), "cluster"), "report", "left")
-    alone = rep.where("cluster is null").select("report", F.concat(F.lit("std_"), F.regexp_replace("report", "^rpt_", "")).alias("study"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = replay(left, set(right["report"]))
-        return pd.DataFrame([(r, s) for r, ss in out.items() for s in sorted(ss)], columns=["report", "study"])
-
-    left, right = ev.withColumnRenamed("cluster", "c_event"), rep.where("cluster is not null").withColumnRenamed("cluster", "c_report")
-    done = left.groupBy("c_event").cogroup(right.groupBy("c_report")).applyInPandas(run, "report string, study string")
-    return done.unionByName(alone)
+    o = F.struct("ts", "id").alias("o")
+    known = reports.select("report").where("report is not null").distinct()
+    e = events.dropDuplicates(["id"])
+    grouped = e.where("ev = 'study-group' and study is not null").select("study", "reports", o)
+    named = grouped.select("study", "o", F.explode(F.array_distinct("reports")).alias("report")).join(known, "report", "left_semi")
+    split = e.where("ev = 'study-split'").select("report", "studies", o).join(known, "report", "left_semi")
+    split = split.groupBy("report").agg(F.max_by("studies", "o").alias("studies"), F.max("o").alias("since"))
+    part = split.select("report", "since", F.explode(F.array_distinct("studies")).alias("study"))
+    # regroupings of a part of the split that leave the report out
+    left_out = grouped.select("study", "o", "reports").join(part, "study").where("o > since and not coalesce(array_contains(reports, report), false)")
+    part = part.join(left_out.groupBy("report", "study").agg(F.min("o").alias("dropped")), ["report", "study"], "left").select("report", "study", "dropped")
+    later = named.join(split.select("report", "since"), "report", "left").where("since is null or o > since").join(part.withColumn("of_split", F.lit(True)), ["report", "study"], "left")
+    moved = later.groupBy("report").agg(F.max(F.coalesce(F.col("of_split") & (F.col("dropped").isNull() | (F.col("dropped") > F.col("o"))), F.lit(False)) == F.lit(False)).alias("moved"), F.max_by("study", "o").alias("study"), F.max("o").alias("o")).where("moved")
+    last = grouped.groupBy("study").agg(F.max("o").alias("last"))
+    single = moved.join(last, "study").where("last <= o").select("report", "study")
+    kept = part.where("dropped is null").join(moved.select("report"), "report", "left_anti").select("report", "study")
+    found = single.unionByName(kept)
+    alone = known.join(found.select("report").distinct(), "report", "left_anti").select("report", F.concat(F.lit("std_"), F.regexp_replace("report", "^rpt_", "")).alias("study"))
+    return found.unionByName(alone)
 
 
 def suggestions(facts: DataFrame) -> DataFrame:

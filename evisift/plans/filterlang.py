@@ -14,11 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:
+    from re import _parser as parser  # Python 3.11 and later
+except ImportError:  # pragma: no cover
+    import sre_parse as parser  # type: ignore[no-redef]
+
 TOKENS = re.compile(
     r"""\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>-?\d+(?:\.\d+)?)|(?P<op>==|!=|<=|>=|<|>|\(|\)|\[|\]|,)|(?P<name>[A-Za-z_][\w.]*))"""
 )
 KEYWORDS = {"and", "or", "not", "in", "contains", "matches", "true", "false", "null"}
-NESTED_REPEAT = re.compile(r"\([^()]*[+*][^()]*\)[+*{]")
+_REPEATS = {"MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"}
+
+
+def repeats_a_repeat(pattern: str) -> bool:
+    """Whether a repetition without bound stands inside another one, at any depth of the parsed pattern."""
+
+    def inside(part: object, repeated: bool) -> bool:
+        if isinstance(part, parser.SubPattern):
+            return any(inside(x, repeated) for x in part.data)
+        if isinstance(part, tuple) and len(part) == 2 and str(part[0]) in _REPEATS:
+            _, most, body = part[1]
+            endless = most is parser.MAXREPEAT
+            return endless and repeated or inside(body, repeated or endless)
+        return isinstance(part, (tuple, list)) and any(inside(x, repeated) for x in part)
+
+    return inside(parser.parse(pattern), False)
 
 
 class FilterError(ValueError):
@@ -206,12 +226,12 @@ class Compiler:
         if op == "matches":
             if family != "string" or not isinstance(value, str):
                 raise FilterError("matches needs a text field and a pattern")
-            if NESTED_REPEAT.search(value):
-                raise FilterError("the pattern repeats a repetition without bound")
             try:
                 re.compile(value)
             except re.error as e:
                 raise FilterError(f"not a pattern: {e}") from e
+            if repeats_a_repeat(value):
+                raise FilterError("the pattern repeats a repetition without bound")
             return F.coalesce(c.rlike(value), F.lit(False))
         if value is None or _literal_family(value) != family and not (family == "time" and isinstance(value, str)):
             raise FilterError(f"{a[0]!r} cannot be ordered against {value!r}")

@@ -34,8 +34,8 @@ def parse_files(files: DataFrame) -> DataFrame:
                         text, used = formats.decode(data)
                         kind = formats.detect(path, text)
                     rows = list(formats.PARSERS[kind](text))
-                except (ValueError, KeyError) as e:
-                    rows = [*rows, (None, str(e))]
+                except Exception as e:  # noqa: BLE001  whatever is wrong with one file must not end the job for the others
+                    rows = [*rows, (None, f"{type(e).__name__}: {e}")]
                 cols: dict[str, list] = {"file": [path] * len(rows), "format": [kind] * len(rows), "encoding": [used] * len(rows), "n": list(range(len(rows))), "error": [e for _, e in rows]}
                 for f in _NAMES:
                     cols[f] = [(r or {}).get(f) for r, _ in rows]
@@ -54,14 +54,16 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events of NDJSON files with ``file`` and ``line``; blank lines are skipped, a torn last line of a file is dropped, any other bad line stays with ``bad`` set."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    lines = lines.where("trim(text) <> ''")
+    """Events of NDJSON files with ``file``, ``block`` and ``line`` (growing along a file, not its line number); blank lines are skipped, a torn last line of a file is dropped, any other bad line stays with ``bad`` set."""
+    read = spark.read.option("recursiveFileLookup", "true").text(path)
+    # a large file is read in blocks; where a block begins and the order within it give every line a number that grows along the file
+    lines = read.select("_metadata.file_path", "_metadata.file_block_start", "value").withColumn("row", F.monotonically_increasing_id())
+    lines = lines.select(F.col("file_path").alias("file"), F.struct("file_block_start", "row").alias("line"), F.col("value").alias("text")).where("trim(text) <> ''")
     body = "ev string, id string, ts timestamp, actor string, seq int, stage string, record_id string, decision string, criteria array<string>, prev string, digest string, _bad string"
     e = lines.withColumn("e", F.from_json("text", body, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     last = lines.groupBy("file").agg(F.max("line").alias("_last"))
     j = e.join(last, "file").where("not (e._bad is not null and line = _last)")
-    return j.select("file", "line", "e.*").withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
+    return j.select("file", F.col("line.file_block_start").alias("block"), F.col("line.row").alias("line"), "e.*").withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
 
 
 def import_records(parsed: DataFrame, existing: DataFrame, key: str = "key") -> DataFrame:

@@ -56,3 +56,10 @@ def plainly(text: str, r) -> bool:
 @given(tree)
 def test_like_a_plain_evaluator(df, text):
     assert sorted(r["id"] for r in where(df, text).collect()) == [r[0] for r in ROWS if plainly(text, r)]
+
+
+@pytest.mark.parametrize("pattern", ["((a+)b)*", "((a+))+", "(a|b+)*", "(?:x(y*)z)+", "(a+){2,}"])
+def test_repeats_of_repeats_are_refused(pattern):
+    from evisift.plans.filterlang import repeats_a_repeat
+
+    assert repeats_a_repeat(pattern) and not repeats_a_repeat("a+(b|c)*d{2,3}(ef?){3}") and not repeats_a_repeat("[(a+)*]+")

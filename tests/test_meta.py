@@ -72,3 +72,30 @@ def test_robust_with_single_effects_is_near_the_plain_model():
 def test_one_study():
     f = models.fit(np.array([0.3]), np.array([0.1]))
     assert f.tau2 == 0 and f.b[0] == pytest.approx(0.3)
+
+
+def test_score_variance_with_ties_is_that_of_all_orders():
+    import itertools
+
+    x, y = np.array([1.0, 1, 2, 3, 3, 3]), np.array([1.0, 2, 2, 4, 5, 5])
+    scores = [bias.kendall(x, y[list(p)])[0] for p in itertools.permutations(range(6))]
+    assert bias._kendall_variance(x, y) == pytest.approx(np.var(scores))
+    z = np.arange(6.0)
+    assert bias._kendall_variance(z, z) == pytest.approx(6 * 5 * 17 / 18)
+
+
+def test_rank_test_needs_variances_above_that_of_the_mean():
+    with pytest.raises(ValueError):
+        bias.begg(np.array([0.1]), np.array([0.2]))
+
+
+def test_influence_by_its_definitions():
+    y, v = np.array([0.1, 0.5, -0.2, 1.4, 0.3]), np.array([0.04, 0.1, 0.09, 0.2, 0.05])
+    whole, x = models.fit(y, v), np.ones((5, 1))
+    for i, row in enumerate(bias.influence(y, v)):
+        rest = np.arange(5) != i
+        f = models.fit(y[rest], v[rest])
+        shift = whole.b[0] - f.b[0]
+        every = np.linalg.inv((x.T / (v + f.tau2)) @ x)[0, 0]  # all studies, at the tau2 without this one
+        assert row["dfbetas"] == pytest.approx(shift / np.sqrt(every)) and row["cook"] == pytest.approx(shift**2 / whole.vb[0, 0])
+        assert row["rstudent"] == pytest.approx((y[i] - f.b[0]) / np.sqrt(v[i] + f.tau2 + f.vb[0, 0])) and row["tau2_del"] == pytest.approx(f.tau2)

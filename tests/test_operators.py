@@ -49,7 +49,7 @@ def test_staleness(spark):
     decided = spark.createDataFrame([(TA, "i", "include", [], 1), (TA, "e", "exclude", ["c1"], 1), (TA, "x", "exclude", ["c9"], 1), (TA, "m", "maybe", [], 1), (TA, "new", "include", [], 3)], "stage string, record_id string, decision string, cited array<string>, version int")
     changes = spark.createDataFrame([("c1", "edited", "loosened", 2, [TA]), ("c2", "added", "neutral", 3, [TA]), ("c3", "edited", "editorial", 3, [TA]), ("c4", "edited", "both", 4, [FT])], "criterion string, kind string, direction string, to_version int, stages array<string>")
     got = {r["record_id"]: (r["reason"], r["causes"]) for r in screening.stale(decided, changes, 3).collect()}
-    assert got == {"i": ("criterion-added", "c2"), "e": ("criterion-loosened", "c1"), "m": ("criterion-added", "c1,c2")}
+    assert got == {"i": ("criterion-added", "c2"), "e": ("criterion-loosened", "c1"), "m": ("maybe-any-change", "c1,c2")}
 
 
 def test_kappa(spark, events):
@@ -111,12 +111,68 @@ def test_no_row_is_no_error(spark):
     assert e.agg(F.count("*")).first()[0] == 0
 
 
-def test_study_fold():
-    import pandas as pd
-
-    from evisift.operators.studies import replay
-
-    cols = ["ev", "id", "ts", "study", "reports", "report", "studies"]
-    rows = [("study-group", "1", 1, "std_a", ["rpt_a", "rpt_b", "rpt_x"], None, None), ("study-split", "2", 2, None, None, "rpt_c", ["std_c1", "std_c2"]), ("study-group", "3", 3, "std_c1", ["rpt_c", "rpt_d"], None, None), ("study-group", "4", 4, "std_a", ["rpt_a"], None, None)]
-    got = replay(pd.DataFrame(rows, columns=cols), {"rpt_a", "rpt_b", "rpt_c", "rpt_d"})
-    assert got == {"rpt_a": {"std_a"}, "rpt_b": {"std_b"}, "rpt_c": {"std_c1", "std_c2"}, "rpt_d": {"std_c1"}}
+EVENTS = "ev string, id string, ts int, study string, reports array<string>, report string, studies array<string>"
+
+
+def studies_of(report, events):
+    """One report's studies by following all events one by one."""
+    alone = "std_" + report.split("_", 1)[1]
+    now, rest = {alone}, set()
+    for ev, _, _, study, reports, split, parts in sorted(events, key=lambda e: (e[2], e[1])):
+        if ev == "study-split":
+            if split == report:
+                now, rest = set(parts), set(parts)
+        elif report in reports:
+            now, rest = (set(rest), rest) if study in rest else ({study}, set())
+        else:
+            now.discard(study)
+            rest.discard(study)
+            now = now or {alone}
+    return now
+
+
+def test_study_fold(spark):
+    import random
+
+    from evisift.operators.studies import study_map
+
+    fixed = [
+        ("study-group", "1", 1, "std_0a", ["rpt_0a", "rpt_0b", "rpt_x"], None, None), ("study-split", "2", 2, None, None, "rpt_0c", ["std_c1", "std_c2"]), ("study-group", "3", 3, "std_c1", ["rpt_0c", "rpt_0d"], None, None), ("study-group", "4", 4, "std_0a", ["rpt_0a"], None, None),
+        # a report dropped from one part of its split forgets that part
+        ("study-split", "5", 5, None, None, "rpt_0e", ["std_e1", "std_e2"]), ("study-group", "6", 6, "std_e2", ["rpt_0f"], None, None), ("study-group", "7", 7, "std_e1", ["rpt_0e"], None, None), ("study-group", "7", 7, "std_e1", ["rpt_0e"], None, None),
+    ]
+    events, reports = list(fixed), [f"rpt_0{x}" for x in "abcdef"]
+    rng = random.Random(7)
+    for run in range(1, 60):  # runs do not share a name
+        own = [f"rpt_{run}{x}" for x in "abc"]
+        names = [f"std_{run}{x}" for x in "abcs"]
+        reports += own
+        for k in range(rng.randint(1, 7)):
+            if rng.random() < 0.4:
+                events.append(("study-split", f"{run}-{k}", rng.randint(1, 5), None, None, rng.choice(own), rng.sample(names, 2)))
+            else:
+                events.append(("study-group", f"{run}-{k}", rng.randint(1, 5), rng.choice(names), rng.sample(own, rng.randint(1, 3)), None, None))
+    got = {}
+    for r in study_map(spark.createDataFrame(events, EVENTS), spark.createDataFrame([(r,) for r in [*reports, None]], "report string")).collect():
+        got.setdefault(r["report"], set()).add(r["study"])
+    assert got == {r: studies_of(r, events) for r in reports}
+    assert got["rpt_0e"] == {"std_e1"} and got["rpt_0c"] == {"std_c1", "std_c2"} and got["rpt_0b"] == {"std_0b"}
+    assert study_map(spark.createDataFrame([], EVENTS), spark.createDataFrame([("rpt_q",)], "report string")).first()["study"] == "std_q"
+
+
+def test_staleness_reasons(spark):
+    rows = [(f"r{k}", d, ["c1"] if k != 5 else [], 1) for k, d in enumerate(["include", "exclude", "maybe", "include", "exclude", "exclude"])]
+    decided = spark.createDataFrame([("title-abstract", *r) for r in rows], "stage string, record_id string, decision string, cited array<string>, version int")
+    change = "criterion string, kind string, direction string, to_version int, stages array<string>"
+    s = lambda *c: {r["record_id"]: (r["reason"], r["causes"]) for r in screening.stale(decided, spark.createDataFrame([(*x, ["title-abstract"]) for x in c], change), 9).collect()}
+    both = s(("c1", "edited", "both", 2), ("c2", "added", "neutral", 3))
+    assert both == {"r0": ("criterion-both", "c1,c2"), "r3": ("criterion-both", "c1,c2"), "r1": ("criterion-both", "c1"), "r4": ("criterion-both", "c1"), "r2": ("maybe-any-change", "c1,c2")}
+    assert s(("c1", "edited", "tightened", 2), ("c2", "added", "neutral", 3))["r0"] == ("criterion-added", "c1,c2")
+    assert s(("c1", "retired", "neutral", 2)) == {"r1": ("criterion-retired", "c1"), "r4": ("criterion-retired", "c1"), "r2": ("maybe-any-change", "c1")}
+    assert s(("c1", "edited", "editorial", 2)) == {}
+
+
+def test_chains_of_any_length(spark):
+    far = spark.createDataFrame([(k, k - 1) for k in range(1, 200)] + [(1000, 1000), (2001, 2002), (2002, 2001)], "id int, to int")
+    got = {r["id"]: r["to"] for r in linkage.chain_ends(far).collect()}
+    assert all(got[k] == 0 for k in range(1, 200)) and got[1000] == 1000 and got[2001] in (2001, 2002)
