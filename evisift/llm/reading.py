@@ -6,7 +6,8 @@ is the mean level of the labelled documents that hold it. Predictions for the la
 (folds by source); the cut points between levels are set on them, which calibrates the grades.
 
 Distribution: labels are few; a bounded sample of labelled documents (``LABELLED_MOST``, by hash of the key) is joined to the
-corpus and reduced to word grades (at most ``WORDS_MOST`` words) and feature vectors, which go to the driver, where the trees are grown. Scoring is one map over the whole corpus.
+corpus and reduced to word grades (words of three or more of these documents) and feature vectors, which go to the driver, where the trees are grown. Scoring is one map over the whole corpus,
+with arrays over all sentences of a batch of documents.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 LEVELS = ("plain", "general", "academic", "specialist")
 LABELLED_MOST = 12_000
-WORDS_MOST = 50_000
 LEAST_WORDS = 40
 FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAF = 120, 4, 0.08, 32, 8
@@ -39,7 +39,10 @@ _HEAD = re.compile(r"^\s*(?:[•*\-–]|\d+[.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _REFERENCE = re.compile(r"\b(?:19|20)\d\d;\s*\d+|\bdoi:|\bet al\b.*\b(?:19|20)\d\d\b|^\s*\d+\.\s+[A-Z][\w'’-]+ [A-Z]{1,2}[,.]")
 _CODE = re.compile(r"[{}]|\"\s*:\s*|\*\.\w\w,|\bexp .*/|^\s*#\d+\b|^\s*\d{4}-\d\d-\d\d[T ]|\||\t.*\t|;.*;.*;|={4,}|\b(?:INFO|WARN|ERROR|DEBUG)\b")
+#: Without one of these, or one of a few words, neither of the two patterns above can hold.
+_SIGN = re.compile(r"[{}\"*#|\t;=0-9]")
 _REFHEAD = re.compile(r"^\s*(?:references|bibliography|literature cited)\s*:?\s*$", re.I | re.M)
+_ENTRY = re.compile(r"\b(?:19|20)\d\d\b|^\s*\[?\d+[\].]|\bdoi\b|https?:")
 _VOWELS = re.compile(r"[aeiouy]+")
 
 
@@ -64,12 +67,14 @@ class Prose:
         t = _BREAK.sub("", t)
         refs = _REFHEAD.search(t)
         if refs:
-            t = t[: refs.start()]
+            # entries of the list go, whatever stands behind it stays
+            t = t[: refs.start()] + "\n\n" + "\n".join("" if len(x) < 40 or _ENTRY.search(x) else x for x in t[refs.end() :].split("\n"))
         for s in _END.split(t):
             if not s or len(s) < 12:
                 continue
-            s = _HEAD.sub("", s)
-            if _CODE.search(s) or _REFERENCE.search(s):
+            if not s[0].isalpha():
+                s = _HEAD.sub("", s)
+            if (_SIGN.search(s) or "exp " in s or "doi:" in s or "INFO" in s or "WARN" in s or "ERROR" in s or "DEBUG" in s) and (_CODE.search(s) or _REFERENCE.search(s)):
                 # a line of prose may stand next to one that is none
                 for line in s.split("\n"):
                     if line.strip() and not (_CODE.search(line) or _REFERENCE.search(line)):
@@ -83,56 +88,80 @@ class Prose:
         n = len(w)
         if n < 4:
             return
-        own, other = sum(x in ENGLISH for x in w), sum(x in FOREIGN for x in w)
-        latin = sum(x.isascii() for x in w)
+        own, other = sum(map(ENGLISH.__contains__, w)), sum(map(FOREIGN.__contains__, w))
+        latin = n if s.isascii() else sum(map(str.isascii, w))
         if latin < 0.8 * n or other > own or own == 0 or sum(map(len, w)) < 0.5 * len(s.replace(" ", "")):
             return
+        commas, brackets, numbers = s.count(","), s.count("("), sum(map(str.isdigit, s))
         # an unpunctuated text is one long sentence; the statistics take stretches of it
         for k in range(0, n, 60):
             part = w[k : k + 60]
             if len(part) >= 4:
                 self.sentences.append(part)
                 f = len(part) / n
-                self.marks.append((round(s.count(",") * f), round(s.count("(") * f), round(sum(c.isdigit() for c in s) * f)))
+                self.marks.append((round(commas * f), round(brackets * f), round(numbers * f)))
                 self.words += len(part)
 
 
-def _spread(x: np.ndarray, weight: np.ndarray) -> list[float]:
-    """Weighted mean, deviation and quantiles."""
-    total = weight.sum()
-    mean = float((x * weight).sum() / total)
-    order = np.argsort(x, kind="stable")
-    at = np.cumsum(weight[order]) / total
-    q = [float(x[order[min(np.searchsorted(at, p), len(x) - 1)]]) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
-    return [mean, float(np.sqrt((((x - mean) ** 2) * weight).sum() / total)), *q]
-
-
-def features(p: Prose, grades: dict[str, float]) -> list[float]:
-    """The feature vector of a document's prose."""
-    n = np.array([len(s) for s in p.sentences], float)
-    rows = []
-    for s, (commas, brackets, digits) in zip(p.sentences, p.marks):
-        k = len(s)
-        length = [len(w) for w in s]
-        known = [g for g in map(grades.get, s) if g is not None]
-        rows.append(
-            (
-                k, sum(length) / k, sum(x >= 7 for x in length) / k, sum(x >= 11 for x in length) / k, max(length),
-                sum(max(1, len(_VOWELS.findall(w))) for w in s) / k, sum(w in ENGLISH for w in s) / k, commas / k, brackets / k, digits / k,
-                sum(known) / len(known) if known else 1.5,
-            )
-        )
-    m = np.array(rows, float)
-    out = [x for c in range(m.shape[1]) for x in _spread(m[:, c], np.ones(len(n)) if c == 0 else n)]
+def _spread(x: np.ndarray, weight: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Weighted mean, deviation and quantiles of each document's values (docs x 7); rows of a document stand together, in order of documents."""
+    total = np.bincount(doc, weight, docs)
+    mean = np.bincount(doc, x * weight, docs) / total
+    var = np.bincount(doc, (x - mean[doc]) ** 2 * weight, docs) / total
+    order = np.lexsort((x, doc))
+    run = np.cumsum(weight[order])
+    before = np.cumsum(total) - total
+    last = np.cumsum(np.bincount(doc, minlength=docs)) - 1
+    q = [x[order[np.minimum(np.searchsorted(run, before + p * total - 1e-9), last)]] for p in (0.1, 0.25, 0.5, 0.75, 0.9)]
+    return np.stack([mean, np.sqrt(var), *q], 1)
+
+
+def _distinct(first: np.ndarray, second: np.ndarray, most: int) -> np.ndarray:
+    """Sorted distinct pairs of numbers as one number each; ``second`` is below ``most``."""
+    return np.unique(first.astype(np.int64) * most + second)
+
+
+def features(proses: list[Prose], grades: dict[str, float]) -> np.ndarray:
+    """The feature vectors of documents with prose, one row each. All sentences of all documents lie in one array, reduced at their starts."""
+    flat = [w for p in proses for s in p.sentences for w in s]
+    words = list(set(flat))
+    number = dict(zip(words, range(len(words))))
+    at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    length = np.fromiter(map(len, words), float, len(words))
+    vowels = np.array([max(1, len(_VOWELS.findall(w))) for w in words], float)
+    english = np.fromiter(map(ENGLISH.__contains__, words), bool, len(words))
+    grade = np.array([grades.get(w, np.nan) for w in words], float)
+    known = ~np.isnan(grade)
+    docs = len(proses)
+    n = np.array([len(s) for p in proses for s in p.sentences], float)
+    doc = np.repeat(np.arange(docs), [len(p.sentences) for p in proses])
+    start = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+
+    def per(value: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(value[at], start)
+
+    marks = np.array([m for p in proses for m in p.marks], float)
+    graded = per(known.astype(float))
+    g = np.where(graded > 0, per(np.where(known, grade, 0.0)) / np.maximum(graded, 1), 1.5)
+    mean_length = per(length) / n
+    columns = [n, mean_length, per((length >= 7).astype(float)) / n, per((length >= 11).astype(float)) / n, np.maximum.reduceat(length[at], start), per(vowels) / n, per(english.astype(float)) / n, *(marks / n[:, None]).T, g]
+    out = [_spread(c, np.ones(len(n)) if k == 0 else n, doc, docs) for k, c in enumerate(columns)]
     # shares of the prose by the grade of its sentences and by length of words
-    g = m[:, -1]
-    out += [float(n[(g >= lo) & (g < lo + 0.3)].sum() / n.sum()) for lo in np.arange(0.0, 3.0, 0.3)]
-    out += [float(n[(m[:, 1] >= lo) & (m[:, 1] < lo + 0.75)].sum() / n.sum()) for lo in np.arange(3.0, 9.0, 0.75)]
-    content = [frozenset(w for w in s if w not in ENGLISH) for s in p.sentences]
-    links = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(content, content[1:])]
-    every = [w for s in p.sentences for w in s]
-    out += [float(np.mean(links)) if links else 0.0, len(set(every)) / len(every), float(np.log(p.words)), len(p.sentences) and p.words / len(p.sentences)]
-    return out
+    total = np.bincount(doc, n, docs)
+    bands = [(g, lo, 0.3) for lo in np.arange(0.0, 3.0, 0.3)] + [(mean_length, lo, 0.75) for lo in np.arange(3.0, 9.0, 0.75)]
+    out.append(np.stack([np.bincount(doc, n * ((x >= lo) & (x < lo + wide)), docs) / total for x, lo, wide in bands], 1))
+    # content words that a sentence shares with the next one of its document
+    sentence = np.repeat(np.arange(len(n)), n.astype(np.int64))
+    content = _distinct(sentence[~english[at]], at[~english[at]], len(words))
+    size = np.bincount(content // len(words), minlength=len(n)) if len(content) else np.zeros(len(n), np.int64)
+    again = content[np.isin(content + len(words), content, assume_unique=True)]
+    common = np.bincount(again // len(words), minlength=len(n)) if len(again) else np.zeros(len(n), np.int64)
+    next_ = np.flatnonzero(doc[1:] == doc[:-1])
+    link = common[next_] / np.maximum(1, np.minimum(size[next_], size[next_ + 1]))
+    links = np.bincount(doc[next_], link, docs) / np.maximum(1, np.bincount(doc[next_], minlength=docs))
+    kinds = np.bincount(_distinct(doc[sentence], at, len(words)) // len(words), minlength=docs) / total
+    out.append(np.stack([links, kinds, np.log(total), total / np.bincount(doc, minlength=docs)], 1))
+    return np.concatenate(out, 1)
 
 
 class Trees:
@@ -183,16 +212,23 @@ class Trees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         b = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T)], 1)
-        out = np.full(len(x), self.base)
+        out, row = np.full(len(x), self.base), np.arange(len(x))
         for splits, value in self.nodes:
+            # a full tree of arrays: a node that is not split hands its value down to the left
+            n = 2**self.depth - 1
+            column, edge, leaf = np.zeros(n, np.int64), np.full(n, BINS), np.zeros(2 * n + 1)
+            for k in range(2 * n + 1):
+                if k in value:
+                    leaf[k] = value[k]
+                if k < n:
+                    if k in splits:
+                        column[k], edge[k] = splits[k]
+                    else:
+                        leaf[2 * k + 1] = leaf[k]
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                for k in np.unique(node):
-                    if k in splits:
-                        c, e = splits[k]
-                        idx = np.flatnonzero(node == k)
-                        node[idx] = np.where(b[idx, c] > e, 2 * k + 2, 2 * k + 1)
-            out += np.array([value.get(int(k), 0.0) for k in node])
+                node = 2 * node + 1 + (b[row, column[node]] > edge[node])
+            out += leaf[node]
         return out
 
 
@@ -222,7 +258,7 @@ class Reader:
         at = [k for k, p in enumerate(prose) if p.words >= LEAST_WORDS]
         level, grade = [-1] * len(texts), [float("nan")] * len(texts)
         if at:
-            pred = self.trees.predict(np.array([features(prose[k], self.grades) for k in at]))
+            pred = self.trees.predict(features([prose[k] for k in at], self.grades))
             for k, g in zip(at, pred):
                 level[k], grade[k] = int(np.searchsorted(self.cuts, g)), float(g)
         return [p.words for p in prose], level, grade
@@ -242,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Reader | None:
             yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), pa.array(held, pa.list_(pa.string()))], names=["fold", "y", "words"])
 
     per = chosen.mapInArrow(words, "fold int, y double, words array<string>").select("fold", "y", F.explode("words").alias("w")).groupBy("w", "fold").agg(F.count("y").alias("n"), F.sum("y").alias("s"))
-    top = per.groupBy("w").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s")))).alias("by")).where("n >= 3").orderBy(F.desc("n"), "w").limit(WORDS_MOST)
+    top = per.groupBy("w").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s")))).alias("by")).where("n >= 3")
     vocab = {r["w"]: (r["n"], r["s"], {k: (v["n"], v["s"]) for k, v in r["by"].items()}) for r in top.collect()}
     mean = y.agg(F.avg("y")).first()[0]
     if mean is None:
@@ -259,12 +295,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Reader | None:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t, f, v in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), b.column("y").to_pylist()):
-                p = Prose(t)
-                if p.words >= LEAST_WORDS:
-                    rows.append((f, v, features(p, by_fold[f])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["fold", "y", "x"])
+            rows = [(f, v, p) for t, f, v in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), b.column("y").to_pylist()) if (p := Prose(t)).words >= LEAST_WORDS]
+            for f in sorted({r[0] for r in rows}):  # each fold with the word grades that leave it out
+                own = [r for r in rows if r[0] == f]
+                x = features([r[2] for r in own], by_fold[f]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(own), pa.int32()), pa.array([r[1] for r in own], pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["fold", "y", "x"])
 
     data = chosen.mapInArrow(vectors, "fold int, y double, x array<double>").toPandas()
     if len(data) < 2:

@@ -25,7 +25,7 @@ def tables(spark, n=160):
 def test_levels(spark):
     d, lab = tables(spark)
     got = {x["doc_id"]: x["level_name"] for x in r.reading_levels(d, lab).collect()}
-    assert set(got) == set(range(160)) | {908}
+    assert set(got) == set(range(160)) | {907, 908}  # texts are read whole: prose behind a heading of references counts, entries of the list do not
     assert np.mean([got[k] == ("plain" if k % 2 else "specialist") for k in range(160)]) > 0.97
 
 
