@@ -6,9 +6,10 @@ bucket of the block holds the patterns to compare. Found runs are the candidates
 taken over if it can be laid over the document so that its telling words agree: words weigh by their rarity in the corpus,
 as texts of one kind share phrases, and a sentence all of whose runs are common in the corpus is a stock sentence.
 
-Distribution: maps over the corpus. The first counts, for the words and runs of the items, the distinct texts
-that hold them (patterns of a text meet by its hash, then partial sums per task, one number a pattern); for runs of many texts another one counts
-the distinct surroundings they stand in; the last one searches. The items travel with the tasks, in blocks of at most ``BLOCK_WORDS`` words,
+Distribution: one map over the corpus folds and searches every text and writes what it found; the folded words stay only of documents with a run of an item.
+From this table come, for the words and runs of the items, the numbers of distinct texts
+that hold them (patterns of a text meet by its hash, then partial sums per task, one number a pattern), for runs of many texts the numbers of
+distinct surroundings they stand in, and the decision on each document. The items travel with the tasks, in blocks of at most ``BLOCK_WORDS`` words,
 so their size is bounded; each block is another pass. No pair of documents is formed.
 """
 
@@ -28,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evisift.plans.lineage import Workspace
+
 RUN = 5
 BLOCK_WORDS = 2_000_000
 #: Least words taken over.
@@ -47,6 +50,7 @@ LIKE, EDITED, EDITED_TWO = 0.55, 0.7, 0.85
 _TAG = re.compile(r"<[^<>\n]{1,60}>")
 _BREAK = re.compile(r"(?<=[a-z])[-‐]\s*\n\s*(?=[a-z])|[­​‌‍﻿]")
 _WORD = re.compile(r"[^\W_]+")
+_MARKS_ON_LETTERS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.combining(c)) + "]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])")
 
 
@@ -61,7 +65,7 @@ def words_of(text: str | None) -> list[str]:
         t = _TAG.sub(" ", t)
     t = t.lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        t = _MARKS_ON_LETTERS.sub("", unicodedata.normalize("NFKD", t))
     return _WORD.findall(_BREAK.sub("", t))
 
 
@@ -88,6 +92,15 @@ class Patterns:
                         self.where.append([])
                     self.where[r].append((k, p))
         self.n_runs = len(runs)
+        # the same by item, and the places and lengths alone, as many items share a stock sentence
+        self.of_item: list[dict[int, list[tuple[int, int]]]] = []
+        self.spots: list[list[tuple[int, int]]] = []
+        for places in self.where:
+            mine: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for k, q in places:
+                mine[self.sentences[k][0]].append((k, q))
+            self.of_item.append(dict(mine))
+            self.spots.append(sorted({(q, len(self.sentences[k][1])) for k, q in places}))
         size = self.size = len(self.vocabulary) + 1
         # shifts by block of two words; zero where a run ends in the block, whose bucket maps the words before it to the run
         self.shift: dict[int, int] = {}
@@ -133,49 +146,61 @@ def _hash(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
 
 
-def corpus_counts(docs: DataFrame, patterns: Patterns, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Numbers of distinct texts: with words, with each item word, with each item run; of a run in many texts the number of surroundings if that is less."""
-    size = 1 + patterns.size + patterns.n_runs
+def searched(docs: DataFrame, patterns: Patterns, key: str, text: str) -> DataFrame:
+    """What the items' patterns find in each text with words: ``key, hash, has`` (numbers of item words and, behind them, of runs; null for a text that the task has met), and for texts with a run ``words``, ``at`` and ``run``."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task sends a text once, so a group of copies, however large, sends few rows to its bucket
+        # a task counts a text once, so a group of copies, however large, sends few rows to its bucket
         seen: set[int] = set()
         for batch in batches:
-            key, at = [], []
-            for t in batch.column(0).to_pylist():
+            row, rows = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
                 words = words_of(t)
-                if not words or (h := _hash(words)) in seen:
+                if not words:
                     continue
-                seen.add(h)
+                h = _hash(words)
                 w = patterns.numbered(words)
-                key.append(h)
-                at.append([0, *(1 + x for x in set(w)), *{1 + patterns.size + r for _, r in patterns.search(w)}])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.list_(pa.int32()))], names=["key", "at"])
+                hits = patterns.search(w)
+                has = None if h in seen else [0, *(1 + x for x in set(w)), *{1 + patterns.size + r for _, r in hits}]
+                seen.add(h)
+                row.append(k)
+                rows.append((h, has, " ".join(words) if hits else None, [p for p, _ in hits], [r for _, r in hits]))
+            cols = list(zip(*rows)) or [[]] * 5
+            types = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(list(c), x) for c, x in zip(cols, types)]], names=["key", "hash", "has", "words", "at", "run"])
+
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, hash bigint, has array<int>, words string, at array<int>, run array<int>")
+
+
+def corpus_counts(found: DataFrame, patterns: Patterns) -> tuple[int, np.ndarray, np.ndarray]:
+    """Numbers of distinct texts (``found``: of :func:`searched`): with words, with each item word, with each item run; of a run in many texts the number of surroundings if that is less."""
+    size = 1 + patterns.size + patterns.n_runs
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         all_ = np.zeros(size, np.int64)
         for batch in batches:
-            for h, at in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for h, has in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if h not in seen:
                     seen.add(h)
-                    all_[at.values.to_numpy()] += 1
+                    all_[has.values.to_numpy()] += 1
         at = np.flatnonzero(all_)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(all_[at])], names=["at", "n"])
 
-    texts = docs.select(text).mapInArrow(run, "key bigint, at array<int>").repartition("key")
+    texts = found.where("has is not null").select("hash", "has").repartition("hash")
     got = texts.mapInArrow(once, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     all_ = np.zeros(size, np.int64)
     all_[got["at"].to_numpy()] = got["n"].to_numpy()
     n, words, runs = int(all_[0]), all_[1 : 1 + patterns.size], all_[1 + patterns.size :]
     often = np.flatnonzero(runs > _most_rare(n))
     if len(often):
-        around = surroundings(docs, patterns, text, set(often.tolist()))
+        around = surroundings(found, patterns, set(often.tolist()))
         runs[often] = np.minimum(runs[often], around[often])
     return n, words, runs
 
 
-def surroundings(docs: DataFrame, patterns: Patterns, text: str, runs: set[int]) -> np.ndarray:
+def surroundings(found: DataFrame, patterns: Patterns, runs: set[int]) -> np.ndarray:
     """For each of ``runs``, the number of different words around the sentence it belongs to, as this lies in the documents.
 
     Where a document begins or ends with the sentence, the document's text stands for what is around it.
@@ -183,19 +208,22 @@ def surroundings(docs: DataFrame, patterns: Patterns, text: str, runs: set[int])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
-            for t in batch.column(0).to_pylist():
-                words = words_of(t)
-                hits = [x for x in patterns.search(patterns.numbered(words)) if x[1] in runs]
-                whole = [str(_hash(words))] if hits else []
-                for at, r in hits:
-                    for k, q in patterns.where[r]:
-                        lo, hi = at - q, at - q + len(patterns.sentences[k][1])
-                        before = words[max(0, lo - AROUND) : lo] if lo > 0 else whole
-                        found.add((r, _hash([*before, "|", *(words[hi : hi + AROUND] or whole)])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64())], names=["run", "place"])
-
-    got = docs.select(text).mapInArrow(run, "run int, place bigint").distinct().groupBy("run").count().toPandas()
+            out = set()
+            for h, text, ats, rs in zip(*(c.to_pylist() for c in batch.columns)):
+                words, whole, place = None, [str(h)], {}
+                for at, r in zip(ats, rs):
+                    if r not in runs:
+                        continue
+                    words = words or text.split(" ")
+                    for q, n in patterns.spots[r]:
+                        lo, hi = at - q, at - q + n
+                        if (lo, hi) not in place:
+                            before = words[max(0, lo - AROUND) : lo] if lo > 0 else whole
+                            place[lo, hi] = _hash([*before, "|", *(words[hi : hi + AROUND] or whole)])
+                        out.add((r, place[lo, hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.int64())], names=["run", "place"])
+
+    got = found.where("words is not null").select("hash", "words", "at", "run").mapInArrow(run, "run int, place bigint").distinct().groupBy("run").count().toPandas()
     out = np.zeros(patterns.n_runs, np.int64)
     out[got["run"].to_numpy()] = got["count"].to_numpy()
     return out
@@ -209,11 +237,15 @@ class Judge:
         self.weight = np.log((n + 1) / (words + 0.5)).clip(0.05).tolist()
         self.rare = (runs <= _most_rare(n)).tolist()
 
+    @staticmethod
+    def _window(sentence: list[int], w: list[int], at: int) -> list[int]:
+        """The part of a document over which a sentence that seems to begin at ``at`` is laid."""
+        return w[max(0, at - 4) : max(0, at + len(sentence) + 6)]
+
     def laid_over(self, sentence: list[int], w: list[int], at: int) -> tuple[int, float, int, int]:
         """The sentence over the document around ``at``: words found in order, the share of weight that agrees between the
         first and last of them, and where in the document these stand."""
-        lo = max(0, at - 4)
-        window = w[lo : max(0, at + len(sentence) + 6)]
+        lo, window = max(0, at - 4), self._window(sentence, w, at)
         blocks = [b for b in SequenceMatcher(None, sentence, window, autojunk=False).get_matching_blocks() if b.size]
         # single words far from the rest are chance, not the ends of a copied part
         while len(blocks) > 1 and blocks[0].size == 1 and blocks[1].a - blocks[0].a > 2:
@@ -234,21 +266,36 @@ class Judge:
 
     def leaked(self, text: str | None) -> list[tuple[str, int]]:
         """(item, words taken over) of the items that leaked into the text."""
-        p, w = self.p, self.p.numbers(text)
-        hits = p.search(w) if len(w) >= FOUND else []
-        items = {p.sentences[k][0] for _, r in hits if self.rare[r] for k, _ in p.where[r]}
+        words = words_of(text)
+        return self.found(" ".join(words), self.p.search(self.p.numbered(words)))
+
+    def found(self, words: str, hits: list[tuple[int, int]]) -> list[tuple[str, int]]:
+        """The same of folded words with single spaces between them and the runs found in them."""
+        p = self.p
+        items = {i for _, r in hits if self.rare[r] for i in p.of_item[r]}
         if not items:
             return []
+        w = p.numbered(words.split(" "))
+        if len(w) < FOUND:
+            return []
         starts: dict[int, set[int]] = defaultdict(set)
         rare: dict[int, list[int]] = defaultdict(list)
         for at, r in hits:
-            for k, q in p.where[r]:
-                if p.sentences[k][0] in items:
+            mine = p.of_item[r]
+            for i in items if len(items) < len(mine) else [i for i in mine if i in items]:
+                for k, q in mine.get(i, ()):
                     starts[k].add(at - q)
                     if self.rare[r]:
                         rare[k].append(at)
+        # words of a sentence that stand near one of its places bound what can be found there; an item that cannot reach enough is not laid over
+        most: Counter = Counter()
+        for k, ats in starts.items():
+            s = p.sentences[k][1]
+            most[p.sentences[k][0]] += max(sum(map(set(self._window(s, w, at)).__contains__, s)) for at in ats)
         parts, agree = {}, []
         for k, ats in starts.items():
+            if most[p.sentences[k][0]] < FOUND:
+                continue
             places = [self.laid_over(p.sentences[k][1], w, at) for at in ats]
             parts[k] = max(places)
             # the place with most words may agree less than another one; a place counts by itself if a rare run lies in it
@@ -302,16 +349,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def _leaks(docs: DataFrame, patterns: Patterns, key: str, text: str, kind: str) -> DataFrame:
-    judge = Judge(patterns, *corpus_counts(docs, patterns, text))
+    ws = Workspace(docs.sparkSession, "leakage")
+    table = ws.write(searched(docs, patterns, key, text), "searched")
+    with ws.tidy():
+        judge = Judge(patterns, *corpus_counts(table, patterns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, item, n = [], [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                for i, x in judge.leaked(t):
+            for k, (words, at, r) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                for i, x in judge.found(words, list(zip(at, r))):
                     row.append(k)
                     item.append(i)
                     n.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.string()), pa.array(n, pa.int32())], names=["key", "item_id", "words"])
 
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, item_id string, words int").withColumnRenamed("key", key)
+    hit = table.where("words is not null").select("key", "words", "at", "run")
+    return hit.mapInArrow(run, f"key {kind}, item_id string, words int").withColumnRenamed("key", key)
