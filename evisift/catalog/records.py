@@ -349,12 +349,12 @@ def _num(c: str) -> str:
 
 _YEAR = "issued.date_parts[1][1]"
 _ORIGIN = "CASE WHEN len([s for s in meta.sources if s.via IS NULL OR s.via IN ('', 'search')]) > 0 THEN 'searches' ELSE coalesce(meta.sources[1].via, 'searches') END"
-_K = f"""k AS (SELECT id, {_title('title')} AS title, [{_family("coalesce(a.family, a.literal, '')")} for a in coalesce(author, [])] AS authors, {_YEAR} AS year, {_journal('container_title')} AS journal, volume, {_num('page')} AS page,
+_K = f"""k AS (SELECT id, {_title('title')} AS title, [{_family("coalesce(a.family, a.literal, '')")} for a in coalesce(author, [])] AS authors, {_YEAR} AS year, {_journal('container_title')} AS journal, {_num('volume')} AS volume, {_num('page')} AS page,
   {_doi('doi')} AS doi, nullif(trim(pmid), '') AS pmid, coalesce(list_contains(meta.flags, 'best-effort-parse'), false) AS best_effort,
   (doi IS NOT NULL)::INT + (abstract IS NOT NULL)::INT + (len(coalesce(author, [])) > 0)::INT + (page IS NOT NULL)::INT AS complete FROM r WHERE id IS NOT NULL)"""
 _BK = """bk AS (SELECT id, year, kind, key FROM (
   SELECT id, year, 'doi' AS kind, doi AS key FROM k UNION ALL SELECT id, year, 'pmid', pmid FROM k
-  UNION ALL SELECT id, year, 'title-year', CASE WHEN substring(title, 1, 12) <> '' AND year IS NOT NULL THEN substring(title, 1, 12) || '|' || year END FROM k
+  UNION ALL SELECT id, year, 'title-year', CASE WHEN title <> '' THEN substring(title, 1, 12) || '|' || coalesce(year::VARCHAR, '') END FROM k
   UNION ALL SELECT id, year, 'author-year-volume', CASE WHEN authors[1] <> '' AND year IS NOT NULL AND volume <> '' THEN authors[1] || '|' || year || '|' || volume END FROM k
   UNION ALL SELECT id, year, 'journal-volume-page', CASE WHEN journal <> '' AND volume <> '' AND page <> '' THEN journal || '|' || volume || '|' || page END FROM k) WHERE key <> '')"""
 _BLOCKS = f"WITH {_R}, {_K}, {_BK}"

@@ -44,15 +44,32 @@ def stream_latest_state(spark, d):
     from evisift.streaming import folds
 
     s = folds.stream(spark, f"{d}/events.parquet")
-    return folds.run_available(folds.latest_state(s, ["user_id", "event_type"], ["event_id", "value"], ["ts", "event_id"]), "latest")
+    return folds.run_available(folds.latest_state(s, ["user_id", "event_type"], ["event_id", "value"], ["ts", "event_id"]), "latest", "update", ["user_id", "event_type"])
 
 
 def stream_sessions(spark, d):
-    """Sessions of each user; over a bounded input the last ones close too."""
+    """Sessions of each user so far, the open ones too."""
     from evisift.streaming import folds
 
-    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
-    return folds.sessions(e, "ts", "user_id", "6 hours").select("user_id", "start", "n")
+    e = folds.stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    return folds.run_available(folds.sessions(e, "ts", "user_id", "6 hours"), "sessions").select("user_id", "start", "n")
+
+
+def stream_dedup(spark, d):
+    """Events that arrive twice count once."""
+    from evisift.streaming import folds
+
+    e = lambda: folds.stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    return folds.run_available(folds.deduplicated(e().union(e()), "ts", "event_id", "4000 days"), "dedup", "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+def stream_transitions(spark, d):
+    """Changes of the kind of event of each user."""
+    from evisift.streaming import folds
+
+    e = folds.stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id", "event_type")
+    t = folds.run_available(folds.transitions(e, "user_id", "event_type", ["ts", "event_id"]), "transitions", "append")
+    return t.groupBy(F.coalesce("before", F.lit("none")).alias("before"), "after").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
 
 
 def stream_windows(spark, d):
@@ -62,10 +79,13 @@ def stream_windows(spark, d):
     return folds.run_available(folds.windowed_counts(e, "ts", "event_type", "1 day"), "windows", "complete")
 
 
-QUERIES = {f.__name__: f for f in (roundtrip_ris, import_manifest, canonical_json, json_props, stream_latest_state, stream_sessions, stream_windows)}
+QUERIES = {f.__name__: f for f in (roundtrip_ris, import_manifest, canonical_json, json_props, stream_latest_state, stream_sessions, stream_dedup, stream_transitions, stream_windows)}
 
 _R = "r AS (SELECT DISTINCT ON (id) * FROM records)"
 ORACLE = {
+    "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
+    "stream_transitions": """WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+      SELECT coalesce(before, 'none') AS before, event_type AS after, count(*) AS n, max(event_id) AS last_event FROM e WHERE before IS DISTINCT FROM event_type GROUP BY ALL""",
     "import_manifest": f"""WITH r AS (SELECT DISTINCT ON (id) id, title, {rec._doi('doi')} AS key, right(id, 1) < 'g' AS half FROM records), p AS (SELECT * FROM r WHERE half), k AS (SELECT DISTINCT key FROM p WHERE key IS NOT NULL AND trim(coalesce(title, '')) <> '')
       SELECT CASE WHEN key IN (SELECT key FROM r WHERE NOT half AND key IS NOT NULL) THEN 'append' ELSE 'add' END AS action, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'read', count(*) FROM p UNION ALL SELECT 'rejected', count(*) FILTER (trim(coalesce(title, '')) = '') FROM p""",
     "roundtrip_ris": f"WITH {_R} SELECT id, container_title AS journal, nullif(volume, '') AS volume, nullif(page, '') AS page, nullif(doi, '') AS doi, CAST(coalesce(len([a for a in author if coalesce(a.family, a.literal) IS NOT NULL]), 0) AS INT) AS n_authors FROM r WHERE trim(coalesce(title, '')) <> ''",
