@@ -9,7 +9,7 @@ flow down the forest, round by round in reverse.
 Distribution: every step is an aggregate with map-side combining or an equi-join on
 a vertex. A vertex with very many edges is hot; such vertices are at most
 ``2 * edges / limit`` by counting, so their list is broadcast and their rows are
-spread over ``SALTS`` partitions with the one matching row replicated as often.
+spread over as many partitions as their number asks for, with the one matching row replicated as often.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from evisift.plans.lineage import Workspace
 
-SALTS = 16
 HOT_LEAST = 2_000_000
 HOT_MOST = 1_000
 
@@ -43,11 +42,13 @@ def join_one(rows: DataFrame, one: DataFrame, key: str, size: str, limit: int, t
     """
     if total <= limit:
         return rows.join(one, key)
-    hot = F.broadcast(one.where(F.col(size) > limit).select(F.col(key).alias("_hot")))
+    # so many parts that each has at most ``limit`` rows
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    hot = F.broadcast(one.where(F.col(size) > limit).select(F.col(key).alias("_hot"), parts.alias("_parts")))
     spread = rows.join(hot, rows[key] == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    copies = one.withColumn("_salt", F.explode(F.when(F.col(size) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col("_parts"))).otherwise(F.lit(0)).cast("int")
+    ).drop("_hot", "_parts")
+    copies = one.withColumn("_salt", F.explode(F.when(F.col(size) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
     return spread.join(copies, [key, "_salt"]).drop("_salt")
 
 

@@ -158,23 +158,33 @@ def fit(items: DataFrame, keys: np.ndarray, stages: list[str], rounds: int = ROU
     return model
 
 
-def fit_by_joins(items: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The same fit where annotators are too many for one task: ``(record_id, stage, q)``, by joins on the annotator."""
+def fit_by_joins(items: DataFrame, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, DataFrame]:
+    """The same fit where annotators are too many for one task, by joins on the annotator: ``(record_id, stage, q)`` and ``(who, t, c, g)``."""
     ws = Workspace(items.sparkSession, "consensus")
     votes = ws.write(items.select("record_id", "stage", "known", F.explode(F.arrays_zip("who", "vote")).alias("v")).select("record_id", "stage", "known", "v.who", "v.vote"), "votes")
-    params = votes.select("who").distinct().select("who", *[F.lit(x).alias(c) for c, x in zip(("t", "c", "g"), START)])
-    prior = items.select("stage").distinct().select("stage", F.lit(0.5).alias("p"))
-    for _ in range(rounds):
-        spam = "(1 - t - c) * if(vote = 1, g, 1 - g)"
+    params = ws.write(votes.select("who").distinct().select("who", *[F.lit(x).alias(c) for c, x in zip(("t", "c", "g"), START)]), "params")
+    prior = ws.write(items.select("stage").distinct().select("stage", F.lit(0.5).alias("p")), "prior")
+    spam = "(1 - t - c) * if(vote = 1, g, 1 - g)"
+
+    def weighed() -> tuple[DataFrame, DataFrame]:
         v = votes.join(params, "who").selectExpr("*", f"{spam} + if(vote = 1, t, c) as p1", f"{spam} + if(vote = 1, c, t) as p0")
-        q = items.join(v.groupBy("record_id", "stage").agg(F.expr("sum(ln(p1 / p0))").alias("l")), ["record_id", "stage"], "left").join(F.broadcast(prior), "stage")
-        q = ws.write(q.selectExpr("record_id", "stage", "coalesce(known, 1 / (1 + exp(-greatest(-500, least(500, ln(p / (1 - p)) + coalesce(l, 0)))))) as q", "1 / (1 + exp(-greatest(-500, least(500, ln(p / (1 - p)) + coalesce(l, 0))))) as free"), "q")
+        q = items.join(v.groupBy("record_id", "stage").agg(F.expr("sum(ln(p1 / p0))").alias("l")), ["record_id", "stage"], "left").join(prior, "stage")
+        free = "1 / (1 + exp(-greatest(-500, least(500, ln(p / (1 - p)) + coalesce(l, 0)))))"
+        return v, ws.write(q.selectExpr("record_id", "stage", f"coalesce(known, {free}) as q", f"{free} as free"), "q")
+
+    for _ in range(rounds):
+        v, q = weighed()
         r = v.join(q, ["record_id", "stage"]).selectExpr("who", "vote", "t", "c", f"{spam} as s", "if(vote = 1, q / p1, (1 - q) / p0) as same", "if(vote = 1, (1 - q) / p0, q / p1) as other")
-        a = r.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(t * same)").alias("st"), F.expr("sum(c * other)").alias("sc"), F.expr("sum(if(vote = 1, s * (same + other), 0))").alias("g1"), F.expr("sum(if(vote = 0, s * (same + other), 0))").alias("g0"))
+        a = r.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.expr("sum(t * same)").alias("st"), F.expr("sum(c * other)").alias("sc"), F.expr("sum(if(vote = 1, s * (same + other), 0))").alias("g1"), F.expr("sum(if(vote = 0, s * (same + other), 0))").alias("g0"), F.first("t").alias("t0"), F.first("c").alias("c0"))
         t, c, g = _estimates(*(F.col(x) for x in ("n", "st", "sc", "g1", "g0")))
-        params = ws.write(a.select("who", t.alias("t"), c.alias("c"), g.alias("g")), "params")
-        prior = ws.write(q.groupBy("stage").agg(((F.sum("q") + 1) / (F.count(F.lit(1)) + 2)).alias("p")), "prior")
-    return q.select("record_id", "stage", F.col("free").alias("q"))
+        new = ws.write(a.select("who", t.alias("t"), c.alias("c"), g.alias("g"), "t0", "c0"), "params")
+        new_prior = ws.write(q.groupBy("stage").agg(((F.sum("q") + 1) / (F.count(F.lit(1)) + 2)).alias("p")), "prior")
+        ws.drop(params, prior, q)
+        params, prior = new, new_prior
+        moved = new.agg(F.max(F.greatest(F.abs(F.col("t") - F.col("t0")), F.abs(F.col("c") - F.col("c0"))))).first()[0]
+        if moved is None or moved < close:
+            break
+    return weighed()[1].select("record_id", "stage", F.col("free").alias("q")), params.select("who", "t", "c", "g")
 
 
 def consensus(log: DataFrame, tools: DataFrame) -> DataFrame:
@@ -187,7 +197,7 @@ def consensus(log: DataFrame, tools: DataFrame) -> DataFrame:
     items, model = _fitted(log, tools)
     spoken = items.where("n >= 2")
     if model is None:
-        scored = spoken.join(fit_by_joins(items), ["record_id", "stage"])
+        scored = spoken.join(fit_by_joins(items)[0], ["record_id", "stage"])
     else:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -220,8 +230,9 @@ def reliability(log: DataFrame, tools: DataFrame) -> DataFrame:
     items, model = _fitted(log, tools)
     spark = log.sparkSession
     schema = "who bigint, truthful double, contrary double, guess_include double"
+    names = log.where("ev = 'screen'").select(reviewer_of(F.col("actor")).alias("reviewer")).union(tools.select(reviewer_of(F.col("reviewer")))).where("reviewer is not null").distinct()
     if model is None:
-        raise ValueError(f"more than {ANNOTATORS_MOST} annotators: use fit_by_joins")
+        many = fit_by_joins(items)[1].selectExpr("who", "t as truthful", "c as contrary", "g as guess_include")
+        return names.join(many, F.xxhash64("reviewer") == F.col("who")).select("reviewer", "truthful", "contrary", "guess_include")
     rows = [(int(k), float(t), float(c), float(g)) for k, t, c, g in zip(model.keys, model.truth, model.contrary, model.guess)]
-    names = log.where("ev = 'screen'").select(reviewer_of(F.col("actor")).alias("reviewer")).union(tools.select(reviewer_of(F.col("reviewer")))).where("reviewer is not null").distinct()
     return names.join(F.broadcast(spark.createDataFrame(rows, schema)), F.xxhash64("reviewer") == F.col("who")).select("reviewer", "truthful", "contrary", "guess_include")

@@ -67,16 +67,13 @@ def test_better_than_majority(spark, fitted):
     assert rel["a"]["truthful"] > 0.7 > rel["coin"]["truthful"] and rel["round"]["contrary"] > 0.6 and rel["no"]["guess_include"] < 0.2
 
 
-def test_joins_give_the_same(spark, fitted):
+def test_joins_give_the_same(spark, fitted, monkeypatch):
     _, log = fitted
-    items = c.Workspace(spark, "test").write(c.item_votes(*tables(spark, log)))
-    keys = np.array([r[0] for r in items.selectExpr("explode(who) as w").distinct().collect()], dtype=np.int64)
-    model = c.fit(items, keys, ["s"], rounds=3, close=0)
-    free = {r["record_id"]: r["q"] for r in c.fit_by_joins(items, rounds=3).collect()}
-    # the join form reports posteriors under the parameters its last round began with
-    before = c.fit(items, keys, ["s"], rounds=2, close=0)
-    import pyarrow as pa
-
-    t = items.select("record_id", "stage", "who", "vote", "known").toArrow().combine_chunks().to_batches()[0]
-    want = dict(zip(t.column("record_id").to_pylist(), before.posterior(pa.RecordBatch.from_arrays(t.columns, schema=t.schema))[0]))
-    assert model is not None and all(abs(free[k] - want[k]) < 1e-9 for k in want)
+    log, tools = tables(spark, log)
+    plain = {(r["record_id"], r["stage"]): (r["decision"], r["support"]) for r in c.consensus(log, tools).collect()}
+    sure = {r["reviewer"]: tuple(r)[1:] for r in c.reliability(log, tools).collect()}
+    monkeypatch.setattr(c, "ANNOTATORS_MOST", 2)
+    joined = {(r["record_id"], r["stage"]): (r["decision"], r["support"]) for r in c.consensus(log, tools).collect()}
+    assert joined.keys() == plain.keys() and all(joined[k][0] == plain[k][0] and abs(joined[k][1] - plain[k][1]) < 1e-6 for k in plain)
+    again = {r["reviewer"]: tuple(r)[1:] for r in c.reliability(log, tools).collect()}
+    assert again.keys() == sure.keys() and all(abs(x - y) < 1e-6 for k in sure for x, y in zip(again[k], sure[k]))
