@@ -82,6 +82,16 @@ def stage_status_counts(spark, d):
     return screening.status_counts(screening.states(log, _assigned(log)))
 
 
+def stage_status_stale(spark, d):
+    """Items of each stage, settled ones, included ones, and of these those whose decision later changes of criteria put in doubt."""
+    log = _rows(spark, d)
+    st = screening.states(log, _assigned(log)).join(screening.stale_with_upstream(log, _changes(spark), 4).select("stage", "record_id", F.lit(1).alias("stale")), ["stage", "record_id"], "left")
+    count = lambda c: F.count(F.when(F.expr(c), 1))
+    return st.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("items"), count("status in ('include', 'exclude')").alias("resolved"), count("stale = 1").alias("stale"), count("status = 'include'").alias("included"), count("status = 'include' and stale = 1").alias("stale_included")
+    )
+
+
 def conflicts_view(spark, d):
     log = _rows(spark, d)
     return screening.conflicts(log, _assigned(log))
@@ -264,7 +274,7 @@ def cohort_reviewers(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        fold_last_write, fold_first_write, event_dedup, event_sequence, undo_fold, hash_chain_check, screening_state, stage_status_counts, conflicts_view,
+        fold_last_write, fold_first_write, event_dedup, event_sequence, undo_fold, hash_chain_check, screening_state, stage_status_counts, stage_status_stale, conflicts_view,
         screening_queue, irr_pairs, included_reports, stale_decisions, stale_preview, stale_asof, stale_counts, criteria_at_version, criteria_diff, amendment_impact,
         pool_view, audit_excludes, asof_join, range_join, containment_join, compare_reviewers, snapshot_diff, ledger, provenance, verify_log, late_events, status_report, cohort_reviewers,
     )
@@ -320,6 +330,8 @@ ORACLE = {
       SELECT j.file, j.line, j.digest, j.prev FROM j WHERE prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM j e WHERE e.file = j.file AND e.digest = j.prev AND e.line < j.line)""",
     "screening_state": _STATE + "SELECT * FROM st",
     "stage_status_counts": _STATE + "SELECT stage, count(*) AS items, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("include", "exclude", "conflict", "partial", "unscreened")) + " FROM st GROUP BY stage",
+    "stage_status_stale": f"""WITH {_L}, {_OP}, {_FI}, {_AS}, {_AD}, {_ST}, {_CH}, {_resolved('res', 'log')}, {_stale('s0', 'res', 'ch', 4)}, {_upstream('s1', 's0', 'res')}, x AS (SELECT st.*, s1.reason IS NOT NULL AS stale FROM st LEFT JOIN s1 USING (stage, record_id))
+      SELECT stage, count(*) AS items, count(*) FILTER (status IN ('include', 'exclude')) AS resolved, count(*) FILTER (stale) AS stale, count(*) FILTER (status = 'include') AS included, count(*) FILTER (status = 'include' AND stale) AS stale_included FROM x GROUP BY stage""",
     "conflicts_view": _STATE + """SELECT stage, record_id, array_to_string(list_sort(list(DISTINCT actor || '=' || op.decision)), ';') AS said, array_to_string(list_sort(list_distinct(flatten(list(op.criteria)))), ',') AS cited, min(op.ts) AS first_seen
       FROM asg JOIN op USING (stage, record_id, actor) JOIN (SELECT stage, record_id FROM st WHERE status = 'conflict') USING (stage, record_id) GROUP BY ALL""",
     "screening_queue": f"WITH {_L} SELECT DISTINCT stage, record_id FROM log WHERE ev = 'screen' EXCEPT SELECT stage, record_id FROM log WHERE ev = 'screen' AND actor = 'rev-001'",

@@ -98,7 +98,9 @@ def _grouped(e: DataFrame, by: list[str], f, schema: str) -> DataFrame:
         out = f(pdf.sort_values([c for c in ("study", "yi") if c in pdf]))
         for c in by:
             out.insert(0, c, pdf[c].iloc[0])
-        return out[[*by, *[c for c in out.columns if c not in by]]]
+        out = out[[*by, *[c for c in out.columns if c not in by]]]
+        # a frame without rows has no types that Arrow could take over
+        return out if len(out) else pd.DataFrame({c: pd.Series([], dtype=object) for c in out.columns})
 
     return e.groupBy(*by).applyInPandas(run, ", ".join([f"{c} {t}" for c, t in keys.items()]) + ", " + schema)
 
@@ -129,14 +131,18 @@ def regression(e: DataFrame, by: list[str], numbers: list[str], how: str = "REML
     return _grouped(e, by, run, "term string, b double, se double, p double, tau2 double, qm double, r2 double")
 
 
-def bias_tests(e: DataFrame, by: list[str]) -> DataFrame:
-    """``test, estimate, p`` of Egger, Begg, PET-PEESE and trim-and-fill; needs three studies."""
+def bias_tests(e: DataFrame, by: list[str], force: bool = False) -> DataFrame:
+    """``test, estimate, p`` of Egger, Begg, PET-PEESE and trim-and-fill. Fewer than ten studies give no row, as these tests say little there; with ``force`` three are enough."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         y, v = p["yi"].to_numpy(float), p["vi"].to_numpy(float)
-        if len(y) < 3:
+        if len(y) < (3 if force else 10):
             return pd.DataFrame({"test": [], "estimate": [], "p": []})
-        eg, be, pp, tf = bias.egger(y, v), bias.begg(y, v), bias.pet_peese(y, v), bias.trim_and_fill(y, v)
+        try:
+            be = bias.begg(y, v)
+        except ValueError:  # effects that cannot be standardised: no result, and no end for the other groups
+            be = {"tau": None, "p": None}
+        eg, pp, tf = bias.egger(y, v), bias.pet_peese(y, v), bias.trim_and_fill(y, v)
         rows = [("egger", eg["slope"], eg["p_slope"]), ("begg", be["tau"], be["p"]), ("pet-peese", pp["chosen"], None), ("trim-fill", tf["b"], None), ("trim-fill-k0", float(tf["k0"]), None)]
         return pd.DataFrame(rows, columns=["test", "estimate", "p"])
 

@@ -99,3 +99,12 @@ def test_influence_by_its_definitions():
         every = np.linalg.inv((x.T / (v + f.tau2)) @ x)[0, 0]  # all studies, at the tau2 without this one
         assert row["dfbetas"] == pytest.approx(shift / np.sqrt(every)) and row["cook"] == pytest.approx(shift**2 / whole.vb[0, 0])
         assert row["rstudent"] == pytest.approx((y[i] - f.b[0]) / np.sqrt(v[i] + f.tau2 + f.vb[0, 0])) and row["tau2_del"] == pytest.approx(f.tau2)
+
+
+def test_few_studies_are_not_tested_for_bias(spark):
+    from evisift.operators import pooling
+
+    rows = [("few", 0.1 * k, 0.02 * (k + 1)) for k in range(9)] + [("many", 0.1 * k, 0.02 * (k + 1)) for k in range(10)]
+    e = spark.createDataFrame(rows, "outcome string, yi double, vi double")
+    assert {r["outcome"] for r in pooling.bias_tests(e, ["outcome"]).collect()} == {"many"}
+    assert {r["outcome"] for r in pooling.bias_tests(e, ["outcome"], force=True).collect()} == {"few", "many"}
