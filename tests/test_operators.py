@@ -176,3 +176,28 @@ def test_chains_of_any_length(spark):
     far = spark.createDataFrame([(k, k - 1) for k in range(1, 200)] + [(1000, 1000), (2001, 2002), (2002, 2001)], "id int, to int")
     got = {r["id"]: r["to"] for r in linkage.chain_ends(far).collect()}
     assert all(got[k] == 0 for k in range(1, 200)) and got[1000] == 1000 and got[2001] in (2001, 2002)
+
+
+def odd_records(spark, n=400):
+    """Keyed records of few values each, so that many pairs share several keys; nulls, empty texts, equal and single authors among them."""
+    import random
+
+    rng = random.Random(3)
+    words, names = ["effect", "of", "sleep", "on", "pain", "trial"], ["doe", "roe", "poe", "", "van a"]
+    row = lambda k: (
+        f"r{k:04d}", rng.choice(["", "effect of sleep on pain", " ".join(["effect", "of", "sleep", *rng.choices(words, k=3)])]), rng.choice([[], ["doe"], ["doe", "roe"], ["doe", "roe", "poe"], rng.choices(names, k=rng.randint(1, 4))]), rng.choice([None, 2009, 2010, 2010]),
+        rng.choice([None, "", "j of a", "j of a", "j of b"]), rng.choice([None, "1", "1", "2"]), rng.choice([None, "7", "7", "8"]), rng.choice([None, None, None, f"10.1234/{rng.randint(0, 40)}"]), rng.choice([None, None, str(rng.randint(0, 60))]), rng.random() < 0.1, rng.randint(0, 4),
+    )
+    return spark.createDataFrame([row(k) for k in range(n)], "id string, title string, authors array<string>, year int, journal string, volume string, page string, doi string, pmid string, best_effort boolean, complete int")
+
+
+def test_block_pairs_are_the_candidates_once(spark):
+    from evisift.catalog.records import QUERIES
+    from tests.conftest import data
+
+    k = odd_records(spark)
+    want = sorted(tuple(r) for r in linkage.candidate_pairs(linkage.block_keys(k)).collect())
+    assert sorted(tuple(r) for r in linkage.block_pairs(k).collect()) == want and len(want) > 1000
+    # no pair is shuffled or gathered: above the join nothing but columns
+    plan = QUERIES["block_candidates"](spark, data())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
