@@ -201,3 +201,26 @@ def test_block_pairs_are_the_candidates_once(spark):
     # no pair is shuffled or gathered: above the join nothing but columns
     plan = QUERIES["block_candidates"](spark, data())._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_likely_pairs_are_all_that_can_merge(spark):
+    k = odd_records(spark)
+    every = linkage.scored(k, linkage.candidate_pairs(linkage.block_keys(k))).cache()
+    row = lambda r: (r["a"], r["b"], r["score"], bool(r["doi_veto"]), r["best_effort"])
+    for least in (linkage.REVIEW, linkage.AUTO, 1.0):
+        want = {row(r) for r in every.where((F.col("plain_score") >= least) | F.col("same_doi")).collect()}
+        got = [row(r) for r in linkage.likely(k, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+        assert {row(r) for r in linkage.likely(k, least, vetoed=False).collect()} == {r for r in want if not r[3]}
+    assert {(r["a"], r["b"], r["score"]) for r in linkage.accepted(k).collect()} == {tuple(r) for r in linkage.accepted(k, every.select("a", "b")).collect()}
+    assert sorted(map(tuple, linkage.greedy(k).collect())) == sorted(map(tuple, linkage.greedy(k, every.select("a", "b")).collect()))
+    with pytest.raises(ValueError):
+        linkage.likely(k, 0.7)
+
+
+def test_class_counts_visit_no_distinct_pair(spark):
+    k = odd_records(spark)
+    every = linkage.scored(k, linkage.candidate_pairs(linkage.block_keys(k)))
+    judged = every.where("a like '%7'").select(F.col("b").alias("a"), F.col("a").alias("b")).union(every.where("b like '%3'").select("a", "b")).union(spark.createDataFrame([("r0001", "x"), ("r0002", "r0002")], "a string, b string"))
+    want = {r["class"]: r["n"] for r in linkage.classified(every, judged).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r["class"]: r["n"] for r in linkage.class_counts(k, judged).collect()} == want and len(want) == 3
