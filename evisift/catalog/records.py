@@ -138,7 +138,7 @@ def pair_scores(spark, d):
 
 def dedup_classes(spark, d):
     rc = table(spark, d, "review_candidates").select(F.lower(F.trim("record_a")).alias("a"), F.lower(F.trim("record_b")).alias("b")).where("a is not null and b is not null")
-    return linkage.classified(_scored(spark, d), rc).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return linkage.class_counts(_keyed(spark, d), rc)
 
 
 def dedup_strict(spark, d):
