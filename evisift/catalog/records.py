@@ -157,9 +157,10 @@ def dedup_survivors(spark, d):
 
 def dedup_metrics(spark, d):
     """Auto-merges against pairs with one DOI."""
-    k = _keyed(spark, d).where("doi is not null").select("id", "doi")
-    truth = k.withColumnRenamed("id", "a").join(k.withColumnRenamed("id", "b"), "doi").where("a < b").select("a", "b")
-    return linkage.metrics(linkage.classified(_scored(spark, d)).where("class = 'auto'").select("a", "b"), truth)
+    k = linkage.written(_keyed(spark, d))
+    one = k.where("doi is not null").select("id", "doi")
+    truth = one.withColumnRenamed("id", "a").join(one.withColumnRenamed("id", "b"), "doi").where("a < b").select("a", "b")
+    return linkage.metrics(_auto(k), truth)
 
 
 def dedup_greedy(spark, d):
