@@ -142,7 +142,7 @@ def dedup_classes(spark, d):
 
 
 def dedup_strict(spark, d):
-    return linkage.classified(_scored(spark, d), strict=True).where("class = 'auto'").select("a", "b")
+    return _auto(_keyed(spark, d), strict=True)
 
 
 def dedup_clusters(spark, d):
