@@ -224,3 +224,26 @@ def test_class_counts_visit_no_distinct_pair(spark):
     judged = every.where("a like '%7'").select(F.col("b").alias("a"), F.col("a").alias("b")).union(every.where("b like '%3'").select("a", "b")).union(spark.createDataFrame([("r0001", "x"), ("r0002", "r0002")], "a string, b string"))
     want = {r["class"]: r["n"] for r in linkage.classified(every, judged).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {r["class"]: r["n"] for r in linkage.class_counts(k, judged).collect()} == want and len(want) == 3
+
+
+def test_lsh_pairs_are_the_candidates_once(spark, monkeypatch):
+    import random
+
+    from evisift.catalog.records import QUERIES
+    from tests.conftest import data
+
+    rng = random.Random(5)
+    titles = [None, "", "ab", "abc", "žluť 睡眠 и боль 😀", "žluť 睡眠 и боль 😀!", *[" ".join(rng.choices(["effect", "of", "sleep", "on", "pain", "trial", "睡眠", "боль"], k=rng.randint(1, 6))) for _ in range(300)]]
+    k = spark.createDataFrame([(f"r{rng.random():.9f}", t) for t in [*titles, *titles[:40]]], "id string, title string").repartition(3)
+    want = sorted(tuple(r) for r in linkage.candidate_pairs(linkage.lsh_bands(k)).collect())
+    assert len(want) > 1000
+    # all in one block and in blocks of a few records, meetings one by one and in chunks
+    for rows, most in ((1000, 1 << 20), (50, 100), (7, 1)):
+        monkeypatch.setattr(linkage, "TILE_MEETINGS", most)
+        assert sorted(tuple(r) for r in linkage.lsh_pairs(k, rows=rows).collect()) == want
+    assert linkage.lsh_pairs(k.where("length(title) < 3")).count() == 0
+    records = spark.read.parquet(f"{data()}/records.parquet")
+    assert sorted(map(tuple, linkage.titled(records).collect()), key=str) == sorted(map(tuple, linkage.keyed(records).select("id", "title").collect()), key=str)
+    # no pair is shuffled: above the join nothing but columns
+    plan = QUERIES["minhash_candidates"](spark, data())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
