@@ -247,3 +247,19 @@ def test_lsh_pairs_are_the_candidates_once(spark, monkeypatch):
     # no pair is shuffled: above the join nothing but columns
     plan = QUERIES["minhash_candidates"](spark, data())._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_lsh_pairs_come_in_runs_over_few_ids_a_task(spark):
+    import random
+
+    rng = random.Random(7)
+    k = spark.createDataFrame([(f"rec_{rng.getrandbits(80):020x}", f"effect of sleep on pain in trial {n % 9}") for n in range(400)], "id string, title string").repartition(5)
+    want = linkage.candidate_pairs(linkage.lsh_bands(k)).count()
+    tasks: dict[int, list] = {}
+    for r in linkage.lsh_pairs(k, rows=32).select(F.spark_partition_id().alias("task"), "a", "b").collect():
+        tasks.setdefault(r["task"], []).append((r["a"], r["b"]))
+    assert sum(map(len, tasks.values())) == want > 10_000
+    for pairs in tasks.values():
+        # what a dictionary of b has to hold, and runs of a
+        assert len({b for _, b in pairs}) <= 32
+        assert sum(x[0] != y[0] for x, y in zip(pairs, pairs[1:])) + 1 == len({a for a, _ in pairs})
